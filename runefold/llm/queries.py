@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runefold.llm import heavy, leaks, seen, tokens
+from runefold.llm import garbled, heavy, leaks, seen, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,19 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_audit, p4_found, p4_counts, p6_ids, p7_found, p7_spans)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a garbled passage."""
+    documents = table(spark, sf_dir, "documents")
+    return garbled.garbled(documents, garbled.fit(documents))
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents with the chains found and the text restored where it can be."""
+    documents = table(spark, sf_dir, "documents")
+    return garbled.garbled(documents, garbled.fit(documents), restored=True)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_audit, p4_found, p4_counts, p6_ids, p7_found, p7_spans, p8_found, p8_restored)}
 
 _FREQUENT = "from kv_log where key is not null group by key having count(*) >= 0.005 * (select count(key) from kv_log)"
 
