@@ -1,6 +1,6 @@
 """All registered queries of the core and their SQL twins."""
 
-from runefold.plans import problems
+from runefold.plans import kv, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **kv.QUERIES}
+SQL = {**problems.SQL, **kv.SQL}
