@@ -82,8 +82,15 @@ def crc32c_many(values: list[bytes]) -> np.ndarray:
     return out
 
 
+_CRC_LIST = _CRC.tolist()
+
+
 def crc32c(value: bytes) -> int:
-    return int(crc32c_many([value])[0])
+    """CRC-32C of one value."""
+    crc = 0xFFFFFFFF
+    for b in value:
+        crc = _CRC_LIST[(crc ^ b) & 0xFF] ^ crc >> 8
+    return crc ^ 0xFFFFFFFF
 
 
 @F.pandas_udf(T.LongType())

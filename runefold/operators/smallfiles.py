@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runefold.shared import open_fs, parallelism, workspace, written
+from runefold.shared import free_name, open_fs, parallelism, workspace, written
 from runefold.sources.blocks import BlockError, BlockWriter, read_footer
 
 FAN_IN = 1024
@@ -56,14 +56,15 @@ def export_tables(records: DataFrame, tables: DataFrame, out: str, part_rows: in
     files, so that one huge table does not end in one task.
     """
     cols = [c for c in records.columns if c not in ("store_id", "sst_id")]
-    parts = records.groupBy("store_id", "sst_id").count().join(tables, ["store_id", "sst_id"], "left_semi").select("store_id", "sst_id", F.ceil(F.col("count") / part_rows).cast("int").alias("__parts"))
+    part, n_parts = free_name(records, "__part"), free_name(records, "__n_parts")
+    parts = records.groupBy("store_id", "sst_id").agg(F.count("*").alias("n")).join(tables, ["store_id", "sst_id"], "left_semi").select("store_id", "sst_id", F.ceil(F.col("n") / part_rows).cast("int").alias(n_parts))
     rows = (
         records.join(parts, ["store_id", "sst_id"])
-        .withColumn("__part", F.when(F.col("__parts") > 1, F.pmod(F.xxhash64(*cols), F.col("__parts"))).otherwise(F.lit(0)).cast("int"))
-        .drop("__parts")
+        .withColumn(part, F.when(F.col(n_parts) > 1, F.pmod(F.xxhash64(*cols), F.col(n_parts))).otherwise(F.lit(0)).cast("int"))
+        .drop(n_parts)
     )
     n = parallelism(records.sparkSession)
-    rows = rows.repartition(n, "store_id", "sst_id", "__part").sortWithinPartitions("sst_id", "store_id", "__part")
+    rows = rows.repartition(n, "store_id", "sst_id", part).sortWithinPartitions("sst_id", "store_id", part)
 
     def write(batches):
         import pyarrow.compute as pc
@@ -73,8 +74,8 @@ def export_tables(records: DataFrame, tables: DataFrame, out: str, part_rows: in
         made, held, key = set(), [], None
 
         def flush():
-            table = pa.Table.from_batches(held).drop_columns(["__part"])
-            store, sst, part = key
+            table = pa.Table.from_batches(held).drop_columns([part])
+            store, sst, number = key
             folder = f"{root}/{sst % 1024}"
             if folder not in made:
                 fs.create_dir(folder, recursive=True)
@@ -82,7 +83,7 @@ def export_tables(records: DataFrame, tables: DataFrame, out: str, part_rows: in
             sink = pa.BufferOutputStream()
             pq.write_table(table, sink, use_dictionary=False, compression="zstd")
             data = sink.getvalue()
-            name = f"{folder}/{store}-{sst}-{part}.parquet"
+            name = f"{folder}/{store}-{sst}-{number}.parquet"
             with fs.open_output_stream(name) as f:
                 f.write(data)
             return f"{out}{name[len(root):]}", data.size, table.num_rows
@@ -91,7 +92,7 @@ def export_tables(records: DataFrame, tables: DataFrame, out: str, part_rows: in
         for b in batches:
             if not b.num_rows:
                 continue
-            cols_ = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("store_id", "sst_id", "__part")]
+            cols_ = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("store_id", "sst_id", part)]
             change = [0, *((sum((c[1:] != c[:-1]).astype("i1") for c in cols_)).nonzero()[0] + 1).tolist(), b.num_rows]
             for i, j in zip(change, change[1:]):
                 k = tuple(int(c[i]) for c in cols_)

@@ -53,3 +53,11 @@ def written(df: DataFrame, path: str) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Partitions for explicit exchanges: follows the session's shuffle setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name like ``base`` that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
