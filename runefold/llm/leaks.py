@@ -26,7 +26,7 @@ items.
 Defined results: null, empty and wordless texts leak nothing; a null item text
 or id is no item; items with equal text are found together; a document row is
 answered for itself, each (document, item) once per row. Spans are positions in
-the text as given, merged where they touch or overlap.
+the text as given, merged where they overlap or only one character lies between.
 """
 
 from __future__ import annotations
@@ -273,5 +273,5 @@ def removal_spans(documents: DataFrame, items: DataFrame, id_column: str = "doc_
 
     w = W.partitionBy(id_column).orderBy("start", "stop")
     reach = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = found.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
+    new = found.withColumn("new", (reach.isNull() | (F.col("start") > reach + 1)).cast("int"))
     return new.withColumn("span", F.sum("new").over(w)).groupBy(id_column, "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.countDistinct(item).cast("int").alias("n_items")).drop("span")
