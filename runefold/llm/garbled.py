@@ -26,6 +26,7 @@ for itself; restored text differs from the given one only in the passages.
 
 from __future__ import annotations
 
+import codecs
 import re
 from dataclasses import dataclass
 
@@ -106,12 +107,12 @@ _CONTROLS = re.compile("[\x80-\x9f]")
 # Bytes that windows-1252 leaves undefined; readers commonly pass them through as controls.
 _UNDEFINED_1252 = {b: chr(b) for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 _TABLE_1252 = "".join(_UNDEFINED_1252.get(b) or bytes([b]).decode("cp1252") for b in range(256))
-_BACK_1252 = {c: b for b, c in enumerate(_TABLE_1252)}
+_BACK_1252 = codecs.charmap_build(_TABLE_1252)
 
 
 def _read(data: bytes, encoding: str, loss: str) -> str:
     if encoding == "cp1252" and loss != "replace":
-        text = "".join(map(_TABLE_1252.__getitem__, data))
+        text = codecs.charmap_decode(data, "strict", _TABLE_1252)[0]
     else:
         text = data.decode(encoding, "replace" if loss == "replace" else "strict")
     return _CONTROLS.sub("", text) if loss == "drop" else text
@@ -120,10 +121,7 @@ def _read(data: bytes, encoding: str, loss: str) -> str:
 def _write(text: str, encoding: str) -> bytes:
     if encoding != "cp1252":
         return text.encode(encoding)
-    try:
-        return bytes(map(_BACK_1252.__getitem__, text))
-    except KeyError:
-        raise UnicodeError("not in windows-1252") from None
+    return codecs.charmap_encode(text, "strict", _BACK_1252)[0]
 
 
 def chains() -> list[Chain]:
@@ -144,14 +142,14 @@ def chains() -> list[Chain]:
 
 
 CHAINS = chains()
-_WORD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
+_WORD = re.compile(r"[^ \t\r\n]+")
 _SPLIT = re.compile(r"[ \t\r\n]+")
 _LINE = re.compile(r"\n|\\n")
 
 
 def line_words(line: str) -> list[tuple[int, int]]:
     """Places of the blank-separated words with characters beyond ASCII; no-break spaces do not separate."""
-    return [m.span() for m in _WORD.finditer(line)]
+    return [m.span() for m in _WORD.finditer(line) if not m[0].isascii()]
 
 
 _ENDS = re.compile(r"^[\x00-@\[-`{-\x7f]+|[\x00-@\[-`{-\x7f]+$")
@@ -216,7 +214,7 @@ class Classifier:
     def fit(cls, texts: list[str]) -> Classifier:
         counts: dict[str, int] = {}
         for t in texts:
-            for w in {form(w) for w in _WORD.findall(t)}:
+            for w in {form(w) for w in _WORD.findall(t) if not w.isascii()}:
                 counts[w] = counts.get(w, 0) + 1
         words = {w: n for w, n in counts.items() if not _broken(w)}
         seen: dict[str, int] = {}
