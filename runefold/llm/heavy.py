@@ -223,6 +223,8 @@ def unresolved(counters: np.ndarray, threshold: float) -> bool:
 
 def heavy_hitters(values: DataFrame, column: str, share: float, groups: int = 1024, repetitions: int = 4) -> DataFrame:
     """``column, n_rows, approx_rows`` of every value with at least ``share`` of the non-null rows."""
+    given, column = column, "__value"
+    values = values.select(F.col(given).alias(column))  # a name that the result's columns can't clash with
     whole = counters_of(values, column, groups, repetitions)
     total = int(whole[0, :, :ALPHABET].sum())
     threshold = max(1.0, share * total)
@@ -248,6 +250,6 @@ def heavy_hitters(values: DataFrame, column: str, share: float, groups: int = 10
     else:
         if total and unresolved(whole, threshold):
             raise NotIdentified(f"{groups} groups and {repetitions} repetitions do not separate the frequent values")
-        return values.sparkSession.createDataFrame([], values.select(column, F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("approx_rows")).schema)
+        return values.sparkSession.createDataFrame([], values.select(F.col(column).alias(given), F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("approx_rows")).schema)
     estimates = F.create_map(*[F.lit(int(x)).cast("long") for f in candidates for x in (f, _least(whole, f))])
-    return counted.where(F.col("n_rows") >= threshold).select(column, "n_rows", estimates[F.col("f")].alias("approx_rows"))
+    return counted.where(F.col("n_rows") >= threshold).select(F.col(column).alias(given), "n_rows", estimates[F.col("f")].alias("approx_rows"))

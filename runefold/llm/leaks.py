@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from runefold.llm.fmindex import FMIndex
 
@@ -47,7 +48,7 @@ RUN_WORDS, REPLACED = 20, 8
 SHARD_WORDS = 1 << 20
 MOST_TEST_BYTES = 256 << 20
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,300}>|<!--.*?-->|\]\([^()\s]*\)", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,300}>|<!--.{0,2000}?-->|\]\([^()\s]*\)", re.S)
 _CODE = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|[ntrbf\"'/])|\\+")
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
@@ -210,9 +211,12 @@ def _test_set(items: DataFrame, id_column: str, text_column: str) -> TestSet:
 
 def passages(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", places: bool = False) -> DataFrame:
     """``id_column, item_id[, start, stop]``: each passage found, in one narrow stage."""
+    if id_column.lower() == item_id.lower():
+        raise ValueError("documents and items need ids of different names")
     spark = documents.sparkSession
     kept = spark.sparkContext.broadcast(_test_set(items, item_id, item_text))
-    kinds = documents.select(id_column).schema[0].dataType.simpleString(), items.select(item_id).schema[0].dataType.simpleString()
+    fields = documents.select(id_column).schema[0], items.select(item_id).schema[0]
+    kinds, item_kind = [f.dataType.simpleString() for f in fields], to_arrow_type(fields[1].dataType)
     form = f"`{id_column}` {kinds[0]}, `{item_id}` {kinds[1]}" + ", start int, stop int" * places
 
     def run(batches):
@@ -240,7 +244,6 @@ def passages(documents: DataFrame, items: DataFrame, id_column: str = "doc_id",
         names = [id_column, item_id, "start", "stop"][: 4 if places else 2]
         for b in batches:
             if schema is None:
-                item_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
                 schema = [b.column(0).type, item_kind, pa.int32(), pa.int32()]
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not text or not test.items:
