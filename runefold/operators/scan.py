@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runefold.operators.resolve import state
+from runefold.shared import free_name, parallelism, workspace, written
 
 
 def successor(prefix: bytes) -> bytes | None:
@@ -58,16 +59,20 @@ def page_after(rows: DataFrame, last: bytes | None, size: int) -> DataFrame:
 def positions(rows: DataFrame) -> DataFrame:
     """Every row with its place in key order, from 0, without one task holding all rows.
 
-    Range-partitioned and sorted; each partition's offset is a sum over the
-    counts of the partitions before it.
+    Range-partitioned, sorted and written once to the shared folder: borders of
+    ranges are sampled, so they must not be drawn again between counting and
+    numbering. A partition's offset is the sum of the counts before it. Rows of
+    equal keys take neighbouring places in no set order.
     """
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key").withColumn("__p", F.spark_partition_id())
-    # The place within a partition follows from the increasing id, whose low 33 bits count its rows.
-    ordered = ordered.withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = ordered.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    spark = rows.sparkSession
+    part, place, before = (free_name(rows, c) for c in ("__p", "__i", "__before"))
+    ordered = rows.repartitionByRange(parallelism(spark), "key").sortWithinPartitions("key").withColumn(part, F.spark_partition_id())
+    # The place within a partition: the low 33 bits of the increasing id count its rows.
+    ordered = written(ordered.withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), workspace(spark, "positions"))
+    counts = ordered.groupBy(part).agg(F.count("*").alias("n"))
+    offsets = counts.select(part, F.coalesce(F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before))
     # One row per partition: bounded by the number of partitions.
-    return ordered.join(F.broadcast(before), "__p").withColumn("position", F.col("__before") + F.col("__i")).drop("__p", "__i", "__before")
+    return ordered.join(F.broadcast(offsets), part).withColumn("position", F.col(before) + F.col(place)).drop(part, place, before)
 
 
 class Cursor:

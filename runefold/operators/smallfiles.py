@@ -84,8 +84,10 @@ def export_tables(records: DataFrame, tables: DataFrame, out: str, part_rows: in
             pq.write_table(table, sink, use_dictionary=False, compression="zstd")
             data = sink.getvalue()
             name = f"{folder}/{store}-{sst}-{number}.parquet"
-            with fs.open_output_stream(name) as f:
+            tmp = f"{folder}/.{uuid.uuid4().hex}.tmp"
+            with fs.open_output_stream(tmp) as f:
                 f.write(data)
+            fs.move(tmp, name)  # attempts that run at once, or end early, leave whole files only
             return f"{out}{name[len(root):]}", data.size, table.num_rows
 
         done = []
