@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runefold.shared import spread
+
 #: Documents the classifier is fitted on, about; the only use of a sample.
 SAMPLE_DOCUMENTS = 4000
 BUCKETS = 1 << 15
@@ -409,4 +411,4 @@ def garbled(documents: DataFrame, model: Classifier, id_column: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([ids], [id_column])
 
     form = f"`{id_column}` {kind}" + ", chains array<string>, n_passages int, n_lost int, text string" * restored
-    return documents.select(id_column, text_column).mapInArrow(run, form)
+    return spread(documents.select(id_column, text_column)).mapInArrow(run, form)

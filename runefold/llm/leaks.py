@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from runefold.llm.fmindex import FMIndex
+from runefold.shared import spread
 
 RUN_WORDS, REPLACED = 20, 8
 SHARD_WORDS = 1 << 20
@@ -260,7 +261,7 @@ def passages(documents: DataFrame, items: DataFrame, id_column: str = "doc_id",
         if parts:
             yield flush()
 
-    return documents.select(id_column, text_column).mapInArrow(run, form)
+    return spread(documents.select(id_column, text_column)).mapInArrow(run, form)
 
 
 def leaked(documents: DataFrame, items: DataFrame, **columns: str) -> DataFrame:

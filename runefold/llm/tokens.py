@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runefold.shared import spread
+
 #: Default place of the vocabulary (token bytes in base64 and rank, a line each).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern of that vocabulary.
@@ -186,4 +188,4 @@ def token_ids(documents: DataFrame, id_column: str = "doc_id", text_column: str
                 yield pa.RecordBatch.from_arrays([key.slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], [id_column, "ids"])
 
     kind = documents.select(id_column).schema[0].dataType.simpleString()
-    return documents.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
+    return spread(documents.select(F.col(id_column), F.col(text_column))).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
