@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runefold.functions.hashing import md5_60, signed, xxh3_early
+from runefold.shared import spread
 
 # The stop words.
 STOP_WORDS = """
@@ -35,11 +36,20 @@ def word_column(text: Column) -> Column:
 
 
 def fingerprints(documents: DataFrame, id_column: str, text_column: str, bits: int = 60, hasher=md5_60) -> DataFrame:
-    """``id_column, fingerprint``, one row per id. Words explode and fold again inside a task before the shuffle by id."""
-    words = documents.select(id_column, F.explode_outer(word_column(F.col(text_column))).alias("w")).select(id_column, hasher(F.col("w")).alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(bits)]
-    folded = words.groupBy(id_column).agg(*sums)
-    value = sum((F.when(F.col(f"b{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("bigint") for i in range(1, bits)), F.when(F.col("b0") > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    """``id_column, fingerprint``, one row per id. Words explode and fold again inside a task before the shuffle by id.
+
+    Each sum counts the ones of two bits, the second one ``bits // 2`` places
+    higher in the same number; a text may have 2**30 words.
+    """
+    half = bits // 2
+    words = spread(documents.select(id_column, text_column)).select(id_column, F.explode_outer(word_column(F.col(text_column))).alias("w")).select(id_column, hasher(F.col("w")).alias("h"))
+    both = F.lit(1 | 1 << half)
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(both)).alias(f"s{i}") for i in range(half)]
+    folded = words.groupBy(id_column).agg(F.count("h").alias("n"), *sums)
+    ones = [F.col(f"s{i}").bitwiseAND(F.lit((1 << half) - 1)) for i in range(half)] + [F.shiftrightunsigned(f"s{i}", half) for i in range(half)]
+    value = F.lit(0).cast("bigint")
+    for i, n in enumerate(ones):
+        value = value.bitwiseOR(F.when(2 * n > F.col("n"), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     return folded.select(id_column, value.alias("fingerprint"))
 
 

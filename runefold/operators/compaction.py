@@ -57,7 +57,7 @@ def overlap_pairs(uppers: DataFrame, lowers: DataFrame, buckets: int = 64) -> Da
     bounds = [r[0] for r in _borders(uppers.select("min_key").unionByName(lowers.select("min_key")), buckets)]
 
     def place(key: Column) -> Column:
-        return sum((F.when(key >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+        return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key)) if bounds else F.lit(0)
 
     def spread(runs: DataFrame, side: str) -> DataFrame:
         return runs.select(F.col("run_id").alias(f"{side}_id"), F.col("min_key").alias(f"{side}_min"), F.col("max_key").alias(f"{side}_max"), F.explode(F.sequence(place(F.col("min_key")), place(F.col("max_key")))).alias("__bucket"))
@@ -91,6 +91,32 @@ def write_run(rows: DataFrame, path: str, partitions: int | None = None) -> None
     )
 
 
+def size_tiered_levels(runs: DataFrame, by: str, max_per_level: int = 5, last_level: int = 6) -> DataFrame:
+    """``by, level, n_runs`` of the levels that a size-tiered compaction of each store merges.
+
+    ``runs`` has a row ``by, level`` for each run. Starting from level 0, a
+    level above ``max_per_level`` becomes one run of the next, which may
+    then be too full itself; ``n_runs`` includes that run. The last level is
+    never merged, and the first level that fits ends the cascade.
+    """
+    counts = runs.groupBy(by, "level").agg(F.count("*").alias("n")).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(F.col("level").cast("int"), "n"))).alias("__n"))
+
+    def at(level: Column, moved: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.col("__n"), level), F.lit(0)) + moved
+
+    # One array of at most ``last_level`` entries per store.
+    start = F.struct(F.lit(1).cast("bigint").alias("go"), F.lit(0).cast("bigint").alias("moved"), F.array().cast("array<struct<level:int,n_runs:bigint>>").alias("out"))
+
+    def step(acc: Column, level: Column) -> Column:
+        n = at(level, acc["moved"])
+        full = (acc["go"] == 1) & (n > max_per_level)
+        grown = F.concat(acc["out"], F.array(F.struct(level.alias("level"), n.alias("n_runs"))))
+        return F.struct(F.when(full, 1).otherwise(0).cast("bigint").alias("go"), F.when(full, 1).otherwise(0).cast("bigint").alias("moved"), F.when(full, grown).otherwise(acc["out"]).alias("out"))
+
+    merged = counts.select(by, F.aggregate(F.sequence(F.lit(0), F.lit(last_level - 1)), start, step)["out"].alias("__out"))
+    return merged.select(by, F.explode("__out").alias("__o")).select(by, "__o.level", "__o.n_runs")
+
+
 @dataclass(frozen=True)
 class Run:
     """What planning needs of a run. ``id`` grows with age: smaller is older."""

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from runefold.shared import free_name, open_fs, parallelism, workspace, written
 from runefold.sources.blocks import BlockError, BlockWriter, read_footer
 
-FAN_IN = 1024
+#: Files that one task opens at most, about.
+FAN_IN = 256
 REPORT = "bin long, path string, schema string, files long, blocks_in long, rows_in long, blocks long, rows long, bytes long"
 
 

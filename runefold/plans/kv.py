@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runefold.functions import codec, integrity, simhash
-from runefold.functions.hashing import md5_60
-from runefold.operators import compaction, ratelimit, resolve, scan, sketches
+from runefold.functions.hashing import xxh3_early_udf
+from runefold.operators import compaction, ratelimit, resolve, scan, sketches, smallfiles
 from runefold.plans.problems import table
 from runefold.schema import RESERVED
 from runefold.sources import wal
@@ -184,6 +184,17 @@ def kv_config_defaults(spark, d):
     )
 
 
+def kv_size_tiered_plan(spark, d):
+    """Levels that size-tiered compaction merges now, per store, from the listed directories."""
+    listed = table(spark, d, "lsm_levels").where("level is not null").select("store_id", "level", smallfiles.last_component("directory_name").alias("name")).where("name is not null").distinct()
+    return compaction.size_tiered_levels(listed, "store_id")
+
+
+def xxh3_hashes(spark, d):
+    """Early XXH3 of customer names with two seeds; no SQL twin exists."""
+    return table(spark, d, "customer").select("c_custkey", *[xxh3_early_udf(F.col("c_name").cast("binary"), F.lit(i).cast("bigint")).alias(f"h{i}") for i in (0, 1)])
+
+
 BITS, HASHES = sketches.bloom_parameters(0.01, 10_000)
 ROWS, COLUMNS = sketches.cms_parameters()
 
@@ -292,7 +303,7 @@ QUERIES = {
     for f in (
         kv_current_state, kv_store_versions, kv_point_get, kv_batch_get, kv_get_deleted, kv_arrival_order, kv_lru_keys, kv_range_scan, kv_range_scan_page,
         kv_prefix_scan, kv_prefix_scan_page, kv_prefix_scan_store, kv_cursor_walk, kv_compaction_merge, kv_run_ranges, kv_leveled_overlap, kv_range_pruning,
-        kv_memtable_runs, kv_wal_retained, kv_reserved_rejects, kv_config_defaults, bloom_positions, bloom_contains, cms_cells, cms_estimate, hll_registers,
+        kv_memtable_runs, kv_size_tiered_plan, kv_wal_retained, kv_reserved_rejects, xxh3_hashes, kv_config_defaults, bloom_positions, bloom_contains, cms_cells, cms_estimate, hll_registers,
         hll_estimate, distinct_accurate, simhash_fingerprint, simhash_hamming, merkle_leaves, merkle_root, merkle_diff, dict_encode, dict_decode, vlq_encode,
         vlq_decode, wal_replay_crc, wal_segments_roundtrip, token_bucket_admit,
     )
@@ -365,6 +376,12 @@ SQL = {
         where max_key >= '000000010' and '000000019' >= min_key""",
     "kv_memtable_runs": f"""with {EVENTS_SQL}, n as (select *, (row_number() over (order by seq) - 1) // 801 as run_id from ev)
         select run_id::bigint as run_id, min(key) as min_key, max(key) as max_key, count(*) as n_rows from n group by 1""",
+    "kv_size_tiered_plan": r"""with recursive c as (select store_id, level, count(*) as n from
+            (select distinct store_id, level, regexp_extract(trim(directory_name), '([^/]+?)(?:/+\.?)*$', 1) as name from lsm_levels where directory_name is not null and level is not null) where name <> '' group by 1, 2),
+        m as (select store_id, 0 as level, n as n_runs from c where level = 0 and n > 5 union all
+            select m.store_id, m.level + 1 as level, coalesce(c.n, 0) + 1 as n_runs from m left join c on c.store_id = m.store_id and c.level = m.level + 1
+            where m.level < 5 and coalesce(c.n, 0) + 1 > 5)
+        select store_id, level, n_runs from m""",
     "kv_wal_retained": """with done as (select store_id, arg_max(coalesce(current_value, 0), run_no) as at from wal_index where lower(trim(status)) = 'ok' group by store_id)
         select l.store_id, count(*) as n_rows, min(wal_pos) as first_pos from kv_log l left join done d on l.store_id = d.store_id where wal_pos >= coalesce(d.at, 0) group by 1""",
     "kv_reserved_rejects": "select store_id, lower(hex(key)) as key_hex, count(*) as n_rows from kv_log where "
