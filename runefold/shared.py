@@ -70,4 +70,7 @@ def spread(df: DataFrame) -> DataFrame:
     inputs have more splits than cores and pass unchanged, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    plan = df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in plan.executedPlan().toString():
+        return df  # behind an exchange: counting its partitions would run it
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
