@@ -247,6 +247,18 @@ def test_engine_end_to_end(spark, tmp_path):
     assert [as_bytes(r["key"]) for r in again.range_scan(b"a", b"z").collect()] == [b"k", b"n"]
 
 
+def test_engine_compacts_and_truncates_a_long_log(spark, tmp_path):
+    e = KvEngine(spark, f"file://{tmp_path}/db", DBConfig(lsm_max_per_level=2))
+    rows = [(b"k%d" % (i % 4), b"%d" % i, False, i, i) for i in range(12)]
+    for i in range(0, 12, 4):
+        e.apply_many(spark.createDataFrame(rows[i : i + 4], OPS).coalesce(1))
+    files = [f for f in (tmp_path / "db" / "log").iterdir() if f.suffix == ".parquet"]
+    assert files == [] and not e.needs_compaction()
+    assert {as_bytes(r["key"]): as_bytes(r["value"]) for r in resolve.state(e.operations()).collect()} == {b"k%d" % i: b"%d" % (8 + i) for i in range(4)}
+    e.insert(b"k0", b"new")
+    assert e.get(b"k0") == b"new" and e.get(b"k3") == b"11"
+
+
 def test_engine_sketches_and_limits(spark, tmp_path):
     e = KvEngine(spark, f"file://{tmp_path}/db", DBConfig(token_bucket_capacity=1000, token_bucket_refill_rate=0))
     with pytest.raises(ProbabilisticTypeError):
