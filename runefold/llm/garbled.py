@@ -6,9 +6,11 @@ classifier over hashed byte bigrams of words with characters beyond ASCII tells
 for each word how much more likely it is under each chain than as clean text.
 It is trained here, on a bounded sample of documents: their words as they are
 (*clean*) and garbled by every chain that applies. The sample itself contains
-garbled words; a word that a more frequent word turns into when garbled, or that
-holds lost characters, does not train the clean side. Words that the clean
-sample holds are evidence against every chain.
+garbled words, so lines that several documents share count once, and a word that
+a more frequent word turns into when garbled, that inverts strictly behind UTF-8
+to a word of one script (``proven``), however often it occurs, or that holds lost
+characters, does not train the clean side. Words that the clean sample holds are
+evidence against every chain.
 
 In a line, the stretch of words with the greatest sum of evidence for a chain is
 a passage if that sum reaches ``EVIDENCE``. For a lossless chain the passage
@@ -28,7 +30,9 @@ from __future__ import annotations
 
 import codecs
 import re
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +171,30 @@ def _broken(word: str) -> bool:
     return REPLACEMENT in word or bool(_CONTROLS.search(word)) or any("\ue000" <= c <= "\uf8ff" for c in word)
 
 
+@cache
+def _script(c: str) -> str:
+    """Script of a letter, "" of other characters, "?" where no text has the character."""
+    kind = unicodedata.category(c)
+    if kind in ("Cn", "Co", "Cs", "Cc"):
+        return "?"
+    first = unicodedata.name(c, "?").split()[0].split("-")[0] if kind[0] == "L" else ""
+    return "CJK" if first in ("HIRAGANA", "KATAKANA", "HANGUL", "IDEOGRAPHIC") else first
+
+
+def proven(word: str) -> bool:
+    """Whether a word inverts strictly behind UTF-8 to letters of one script, so that only garbling explains it.
+
+    Pairs of bytes, as in the East Asian encodings, decode by chance more often; there it takes three characters.
+    """
+    for chain in CHAINS:
+        if chain.true != "utf-8" or chain.loss or (back := chain.invert(word)) is None or back == word:
+            continue
+        scripts = set(map(_script, back)) - {""}
+        if len(scripts) < 2 and "?" not in scripts and (chain.wrong not in ("gb18030", "big5", "cp932") or sum(c > "\x7f" for c in back) > 2):
+            return True
+    return False
+
+
 #: Formatting characters are no evidence by themselves: no-break spaces count as blanks, the rest not at all.
 _FORMAT = {0xA0: " ", 0x202F: " ", 0xAD: None, 0x200B: None, 0x200C: None, 0x200D: None, 0x2060: None, 0xFEFF: None}
 
@@ -215,17 +243,20 @@ class Classifier:
     @classmethod
     def fit(cls, texts: list[str]) -> Classifier:
         counts: dict[str, int] = {}
-        for t in texts:
-            for w in {form(w) for w in _WORD.findall(t) if not w.isascii()}:
+        lines: set[str] = set()
+        for t in sorted(set(texts)):  # copies, and lines that several texts share, count once
+            new = {x for x in _LINE.split(t) if not x.isascii()} - lines
+            lines |= new
+            for w in {form(w) for x in new for w in _WORD.findall(x) if not w.isascii()}:
                 counts[w] = counts.get(w, 0) + 1
         words = {w: n for w, n in counts.items() if not _broken(w)}
         seen: dict[str, int] = {}
         for w, n in words.items():
             for c in set(w):
                 seen[c] = seen.get(c, 0) + n
-        # A word that another, more frequent one turns into when garbled is no clean word.
+        # A word that another, more frequent one turns into when garbled is no clean word, nor is a proven one, however frequent.
         made = [{} for _ in CHAINS]
-        suspect = set()
+        suspect = {w for w in words if proven(w)}
         alike = sorted(words, key=lambda w: (max(w), w))  # neighbours share a script, so blocks can be written as wholes
         for i, c in enumerate(CHAINS):
             for w, g in zip(alike, c.garble_all(alike)):

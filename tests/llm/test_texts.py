@@ -191,6 +191,16 @@ def test_held_out_chains_are_found_and_restored(model):
     assert tried > 30 and good == tried and restored >= 0.8 * tried
 
 
+@pytest.mark.parametrize("originals", [0, 1, 40])
+def test_garbled_copies_do_not_pass_for_clean_text(originals):
+    bad = garbled.Chain("utf-8", "cp1252").garble(SENTENCES[2])
+    clean = [f"{s} {i}" for i in range(10) for k, s in enumerate(SENTENCES) if k != 2]
+    copies = ["same start. " + bad] * 20 + [f"{i} {bad} {i}" for i in range(20)]  # a third of the rows, as such and with other text beside
+    own = garbled.Classifier.fit(clean + copies + [f"{SENTENCES[2]} {i}" for i in range(originals)])
+    assert own.passages("x " + bad) and own.passages(copies[0]) and own.passages(copies[-1])
+    assert not any(own.known(w) for w in bad.split() if not w.isascii())
+
+
 def test_lost_bytes_are_found_but_not_restored(model):
     bad = garbled.Chain("cp1252", "utf-8", 1, "replace").garble(SENTENCES[0])
     found = model.passages(bad)
