@@ -18,6 +18,8 @@ the longest has at least ``k`` words, and the phrases hit are at least
   around them (longest common subsequence), misses no more than the words of
   floor(W / 8) replacements.
 
+For removal every such copy of a pair gets a span, and every run.
+
 Only the test items are sent to the tasks; documents are not shuffled, a
 document with many leaks costs its hits and copies of a document cost what one
 does. ``MOST_TEST_BYTES`` guards the test set; beyond it, call per block of
@@ -140,11 +142,13 @@ def common_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def search_shard(test: TestSet, symbols: np.ndarray, starts: np.ndarray):
+def search_shard(test: TestSet, symbols: np.ndarray, starts: np.ndarray, every: bool = False):
     """(document, item, first word, word after the last) of each passage found.
 
     ``symbols``: of all words of the shard, 0 outside the vocabulary;
-    ``starts``: where each document begins, with the end.
+    ``starts``: where each document begins, with the end. With ``every``, each
+    copy with replaced words is given, also where an exact run lies in it;
+    else one is enough for a pair.
     """
     n = len(symbols)
     inside = np.concatenate([[False], symbols != 0, [False]])
@@ -189,7 +193,7 @@ def search_shard(test: TestSet, symbols: np.ndarray, starts: np.ndarray):
     for a, b in zip(pf := np.flatnonzero(pair), np.append(pf[1:], len(doc))):
         d, i = int(doc[a]), int(item[a])
         want = test.items[i]
-        if (d, i) in known or len(np.unique(j[a:b])) < want.least:
+        if (not every and (d, i) in known) or len(np.unique(j[a:b])) < want.least:
             continue
         m, slack = len(want.symbols), len(want.symbols) // REPLACED + 1
         o = np.unique(offset[a:b])
@@ -198,7 +202,8 @@ def search_shard(test: TestSet, symbols: np.ndarray, starts: np.ndarray):
             if common_length(want.symbols, symbols[x:y]) >= want.needed:
                 mine = place[a:b][np.isin(offset[a:b], group)]
                 out.append((d, i, max(x, int(group[0])), min(y, max(int(group[-1]) + m, int(mine.max()) + want.k))))
-                break
+                if not every:
+                    break
     return out
 
 
@@ -229,7 +234,7 @@ def passages(documents: DataFrame, items: DataFrame, id_column: str = "doc_id",
         def flush():
             symbols = np.concatenate(parts)
             starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            found = search_shard(test, symbols, starts)
+            found = search_shard(test, symbols, starts, places)
             if not places:
                 found = sorted({(d, i) for d, i, _, _ in found})
                 columns = [[ids[d] for d, _ in found], [test.items[i].id for _, i in found]]

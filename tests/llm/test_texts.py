@@ -127,6 +127,18 @@ def test_leaks_on_tables(spark):
     assert spans[4]["start"] == 0 and spans[4]["stop"] == len(docs[3][1])
 
 
+def test_removal_spans_are_whole(spark):
+    w = replaced(ITEM_A, 8).split()
+    cleaner = " ".join(ITEM_A.split()[:30] + w[30:])  # a run of 30 words, then one word in eight replaced
+    docs = [(1, f"alpha {replaced(ITEM_A, 8)} {'beta ' * 60}{replaced(ITEM_A, 8, 7)} gamma", "", ""), (2, f"alpha {cleaner} beta", "", ""), (3, f"alpha {passage(ITEM_A, 20)} {'beta ' * 60}{replaced(ITEM_A, 8)} gamma", "", "")]
+    d, i = spark.createDataFrame(docs, TEXTS), spark.createDataFrame([(10, ITEM_A), (11, ITEM_B)], "item_id int, text string")
+    left = {n: text for n, text, *_ in docs}
+    for r in leaks.removal_spans(d, i).orderBy(leaks.F.desc("start")).collect():
+        left[r["doc_id"]] = left[r["doc_id"]][: r["start"]] + left[r["doc_id"]][r["stop"] :]
+    assert {n: " ".join(dict.fromkeys(t.split())) for n, t in left.items()} == {1: "alpha beta gamma", 2: "alpha beta", 3: "alpha beta gamma"}
+    assert {tuple(r) for r in leaks.leaked(d, i).collect()} == {(1, 10), (2, 10), (3, 10)}
+
+
 def test_common_length():
     r = random.Random(1)
     for _ in range(50):
