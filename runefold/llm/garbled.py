@@ -10,13 +10,14 @@ garbled words, so lines that several documents share count once, and a word that
 a more frequent word turns into when garbled, that inverts strictly behind UTF-8
 to a word of one script (``proven``), however often it occurs, or that holds lost
 characters, does not train the clean side. Words that the clean sample holds are
-evidence against every chain.
+evidence against every chain. Which words and characters a restored passage may
+consist of is counted over all documents (``corpus``).
 
 In a line, the stretch of words with the greatest sum of evidence for a chain is
 a passage if that sum reaches ``EVIDENCE``. For a lossless chain the passage
 must then invert: encode strictly in the wrong encoding, decode strictly in the
-true one, and give credible text (``credible``); else the next best chain is
-tried. Chains that
+true one, and give credible text (``credible``), or be long enough to be beyond
+chance (``strict``); else the next best chain is tried. Chains that
 lose bytes need no inversion and are reported as not restorable.
 
 Characters quoted on purpose are no case: inside backticks, or alone on a line
@@ -29,6 +30,7 @@ for itself; restored text differs from the given one only in the passages.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -49,6 +51,9 @@ SMOOTHING = 0.5
 EVIDENCE = 6.0
 #: How much better, in mean log count, a restored passage must be as clean text.
 PLAINER = 0.5
+#: Characters behind UTF-8 that don't decode strictly by chance, and how many of them must differ; twice as many where pairs of bytes are read.
+LONG, DIFFERENT = 4, 3
+PAIRED = ("gb18030", "big5", "cp932")
 #: Characters of clean ASCII that end a passage.
 GAP = 80
 #: Words kept with their scores in a worker.
@@ -190,7 +195,7 @@ def proven(word: str) -> bool:
         if chain.true != "utf-8" or chain.loss or (back := chain.invert(word)) is None or back == word:
             continue
         scripts = set(map(_script, back)) - {""}
-        if len(scripts) < 2 and "?" not in scripts and (chain.wrong not in ("gb18030", "big5", "cp932") or sum(c > "\x7f" for c in back) > 2):
+        if len(scripts) < 2 and "?" not in scripts and (chain.wrong not in PAIRED or sum(c > "\x7f" for c in back) > 2 and "CJK" in map(_script, word)):
             return True
     return False
 
@@ -233,18 +238,23 @@ class Classifier:
     ``table``: log of the ratio of what garbling the whole sample would yield
     in a bucket to what clean text yields; ``clean``: log of the latter;
     ``lexicon``: the sample's clean words beyond ASCII, case folded; ``usual``:
-    its characters outside of broken words.
+    characters outside of broken words; ``suspect``: the sample's words that are
+    no clean ones; ``vocabulary``: sorted hashes of all documents' words.
     """
 
-    def __init__(self, table: np.ndarray, clean: np.ndarray, lexicon: frozenset, usual: frozenset):
-        self.table, self.clean, self.lexicon, self.usual = table, clean, lexicon, usual
+    def __init__(self, table: np.ndarray, clean: np.ndarray, lexicon: frozenset, usual: frozenset, suspect: frozenset = frozenset(), vocabulary: np.ndarray | None = None):
+        self.table, self.clean, self.lexicon, self.usual, self.suspect = table, clean, lexicon, usual, suspect
+        self.vocabulary = np.zeros(0, np.int64) if vocabulary is None else vocabulary
         self.cache: dict[str, np.ndarray] = {}
 
     @classmethod
     def fit(cls, texts: list[str]) -> Classifier:
         counts: dict[str, int] = {}
         lines: set[str] = set()
-        for t in sorted(set(texts)):  # copies, and lines that several texts share, count once
+        often: dict[str, int] = {}
+        for t in sorted(set(texts)):  # copies count once, in ``counts`` also lines that several texts share
+            for w in {form(w) for w in _WORD.findall(t) if not w.isascii()}:
+                often[w] = often.get(w, 0) + 1
             new = {x for x in _LINE.split(t) if not x.isascii()} - lines
             lines |= new
             for w in {form(w) for x in new for w in _WORD.findall(x) if not w.isascii()}:
@@ -262,17 +272,36 @@ class Classifier:
             for w, g in zip(alike, c.garble_all(alike)):
                 if g and g != w and not g.isascii():
                     made[i][g] = w
-                    if (m := words.get(g)) is not None and m < words[w]:
+                    if (m := words.get(g)) is not None and (m < words[w] or often.get(g, 0) < often.get(w, 0)):
                         suspect.add(g)
-        words = {w: n for w, n in words.items() if w not in suspect}
+        lexicon = frozenset(w.casefold() for w, n in words.items() if n > 1 and w not in suspect)
+        words = {w: often.get(w, n) for w, n in words.items() if w not in suspect}
         clean = np.log(_histogram(words) + SMOOTHING)
         table = np.stack([np.log(_histogram({g: words[w] for g, w in m.items() if w in words}) + SMOOTHING) for m in made], axis=1) - clean[:, None]
-        lexicon = frozenset(w.casefold() for w, n in words.items() if n > 1)
-        return cls(table.astype(np.float32), clean.astype(np.float32), lexicon, frozenset(c for c, n in seen.items() if n > 2))
+        return cls(table.astype(np.float32), clean.astype(np.float32), lexicon, frozenset(c for c, n in seen.items() if n > 2), frozenset(suspect))
 
     def known(self, word: str) -> bool:
         return form(word).casefold() in self.lexicon
 
+    def vouched(self, word: str) -> bool:
+        """Whether the sample or the other documents hold the word."""
+        if self.known(word):
+            return True
+        key = _hash(form(word).casefold())
+        i = int(np.searchsorted(self.vocabulary, key))
+        return i < len(self.vocabulary) and int(self.vocabulary[i]) == key
+
+    def strict(self, chain: Chain, restored: str, given: str) -> bool:
+        """Whether a passage behind UTF-8 is long enough that strict decoding alone proves it, whatever its characters."""
+        if chain.true != "utf-8":
+            return False
+        old = set(_SPLIT.split(given))
+        new = [w for w in _SPLIT.split(restored) if w and not w.isascii()]
+        changed = [w for w in new if w not in old]
+        chars = [c for w in changed for c in w if c > "\x7f"]
+        times = 1 + (chain.wrong in PAIRED)
+        return len(changed) * 2 >= len(new) and len(chars) >= LONG * times and len(set(chars)) >= DIFFERENT * times and "?" not in map(_script, chars) and (times == 1 or "CJK" in map(_script, given))
+
     def credible(self, chain: Chain, restored: str, given: str) -> bool:
         """Whether a strictly decoded passage is what was written.
 
@@ -287,8 +316,8 @@ class Classifier:
             beyond = [c for c in restored if ord(c) > 127]
             return sum(c in self.usual for c in beyond) >= 0.75 * len(beyond)
         changed = [w for w in new if w not in old and sum(map(str.isalpha, form(w))) > 1]
-        if any(self.known(w) for w in changed):
-            return sum(map(self.known, changed)) * 2 >= len(changed)
+        if any(self.vouched(w) for w in changed):
+            return sum(map(self.vouched, changed)) * 2 >= len(changed)
         if sum(c >= "\u2e80" for w in changed for c in w) < 4:
             return False
         total, n = _sums(self.clean, [restored, given])
@@ -336,7 +365,7 @@ class Classifier:
     def _in_line(self, line: str, places: list, rows: np.ndarray) -> list:
         out, free = [], np.ones(len(places), bool)
         while True:
-            best = []
+            best, proof = [], []
             gain = np.where(free[:, None], rows, -np.inf)
             run = np.zeros(rows.shape[1])
             begin = np.zeros(rows.shape[1], int)
@@ -358,14 +387,21 @@ class Classifier:
                 a, b = places[i][0], places[j][1]
                 chain, back = CHAINS[c], None
                 if chain.loss:
+                    if proof:
+                        break
                     if not chain.possible(line[a:b]):
                         continue
                 else:
                     back = restore(line, places[i : j + 1], chain)
-                    if back is None or not self.credible(chain, back, line[a:b]):
+                    if back is None:
+                        continue
+                    if not self.credible(chain, back, line[a:b]):
+                        if not proof and self.strict(chain, back, line[a:b]):
+                            proof = (i, j, (a, b, chain, back))  # unless another chain gives usual text
                         continue
                 best = (i, j, (a, b, chain, back))
                 break
+            best = best or proof
             if not best:
                 return out
             out.append(best[2])
@@ -410,12 +446,54 @@ def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         chosen = chosen.where((F.pmod(F.xxhash64(id_column), F.lit(1 << 30)) < int(share * (1 << 30))))
     # Only words beyond ASCII matter for the fit, and only of the sample: bounded by the parameter.
     texts = [r[0] for r in chosen.select(text_column).limit(2 * sample).toLocalIterator()]
-    return Classifier.fit([t for t in texts if not t.isascii()])
+    model = Classifier.fit([t for t in texts if not t.isascii()])
+    model.usual, model.vocabulary = corpus(documents, model, text_column)
+    return model
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def corpus(documents: DataFrame, model: Classifier, text_column: str = "text") -> tuple[frozenset, np.ndarray]:
+    """The characters more than two documents hold and the sorted hashes of the words, case folded, more than one holds.
+
+    Counted over all distinct texts, without broken, proven and suspect words. A
+    batch of rows hands on as many texts of a word or character as decide. What
+    comes to the driver are 8 bytes a word.
+    """
+    kept = documents.sparkSession.sparkContext.broadcast(model.suspect)  # bounded by the sample
+
+    def count(batches):
+        suspect, clean = kept.value, {}
+        for b in batches:
+            texts: dict[tuple[bool, str], set[int]] = {}
+            for text in b.column(0).to_pylist():
+                own, at = set(), _hash(text)
+                for w in {form(w) for w in _WORD.findall(text.replace("\\n", "\n")) if not w.isascii()}:
+                    if w not in clean:
+                        if len(clean) >= CACHE_WORDS:
+                            clean.clear()
+                        clean[w] = not (_broken(w) or w in suspect or proven(w))
+                    if clean[w]:
+                        own |= {(True, w.casefold()), *((False, c) for c in set(w))}
+                for key in own:
+                    if len(have := texts.setdefault(key, set())) < 3:
+                        have.add(at)
+            rows = [(k[0], _hash(k[1]) if k[0] else ord(k[1]), at) for k, v in texts.items() for at in v]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.bool_(), pa.int64(), pa.int64()))], ["word", "key", "text"])
+
+    beyond = documents.where(F.col(text_column).rlike(r"[^\x00-\x7F]")).select(text_column)
+    n = beyond.mapInArrow(count, "word boolean, key long, text long").distinct().groupBy("word", "key").count()
+    found = n.where(F.when(F.col("word"), F.col("count") > 1).otherwise(F.col("count") > 2)).select("word", "key").toArrow()
+    word, key = (np.asarray(found.column(c).combine_chunks().to_numpy(zero_copy_only=False)) for c in ("word", "key"))
+    word = word.astype(bool)
+    return model.usual | {chr(c) for c in key[~word].tolist()}, np.sort(key[word].astype(np.int64))
 
 
 def garbled(documents: DataFrame, model: Classifier, id_column: str = "doc_id", text_column: str = "text", restored: bool = False) -> DataFrame:
     """``id_column`` of each document with a garbled passage; with ``restored`` also ``chains, n_passages, n_lost, text``."""
-    table = documents.sparkSession.sparkContext.broadcast((model.table, model.clean, model.lexicon, model.usual))  # bounded by BUCKETS, chains and the sample
+    table = documents.sparkSession.sparkContext.broadcast((model.table, model.clean, model.lexicon, model.usual, model.suspect, model.vocabulary))  # bounded by BUCKETS, chains and the sample, but for 8 bytes a word of the corpus
     kind = documents.select(id_column).schema[0].dataType.simpleString()
 
     def run(batches):

@@ -213,6 +213,24 @@ def test_garbled_copies_do_not_pass_for_clean_text(originals):
     assert not any(own.known(w) for w in bad.split() if not w.isascii())
 
 
+def test_strict_passages_stand_whatever_their_characters(model):
+    text = "příliš žluťoučký kůň úpěl ďábelské ódy"  # no such characters in the sample
+    found = model.passages("x " + garbled.Chain("utf-8", "cp1252").garble(text))
+    assert [back for *_, back in found] == [text]
+
+
+def test_words_outside_of_the_sample_vouch(spark, model):
+    text = "Größe der Blütenstäubchen, Mühlenflügel fürs Gänseblümchen"
+    bad = garbled.Chain("cp1252", "mac_roman").garble(text)
+    df = spark.createDataFrame([(i, f"{text} {i}", "", "") for i in range(3)] + [(i, bad, "", "") for i in range(3, 9)], TEXTS)
+    usual, vocabulary = garbled.corpus(df, model)
+    own = garbled.Classifier(model.table, model.clean, model.lexicon, usual, model.suspect, vocabulary)
+    assert [back for *_, back in own.passages("plain words " + bad)] == [text]
+    assert [back for *_, back in model.passages("plain words " + bad)] != [text]
+    sampled = garbled.fit(df, sample=1)
+    assert all(sampled.vouched(w) for w in text.split() if not w.isascii()) and not sampled.vouched("Bärlauch") and "ß" in sampled.usual
+
+
 def test_lost_bytes_are_found_but_not_restored(model):
     bad = garbled.Chain("cp1252", "utf-8", 1, "replace").garble(SENTENCES[0])
     found = model.passages(bad)
