@@ -20,8 +20,10 @@ true one, and give credible text (``credible``), or be long enough to be beyond
 chance (``strict``); else the next best chain is tried. Chains that
 lose bytes need no inversion and are reported as not restorable.
 
-Characters quoted on purpose are no case: inside backticks, or alone on a line
-or in quotes in a document whose code encodes or decodes text.
+Characters quoted on purpose are no case: inside backticks, or, in a document
+whose code encodes or decodes text, alone on a line or in quotes. A passage of
+``QUOTED`` characters or more is a quotation only if the document also holds what
+it was before.
 
 Defined results: null, empty and ASCII texts are clean; each row is answered
 for itself; restored text differs from the given one only in the passages.
@@ -56,6 +58,8 @@ LONG, DIFFERENT = 4, 3
 PAIRED = ("gb18030", "big5", "cp932")
 #: Characters of clean ASCII that end a passage.
 GAP = 80
+#: Characters that a longer passage than a quotation takes from first to last beyond ASCII.
+QUOTED = 16
 #: Words kept with their scores in a worker.
 CACHE_WORDS = 200_000
 
@@ -357,7 +361,7 @@ class Classifier:
                     continue
                 if lesson is None:
                     lesson = bool(re.search(r"\.(?:de|en)code\(", text))
-                if lesson and _alone(line, a, b):
+                if lesson and _alone(line, a, b) and (_short(line, a, b) or back is not None and back in text):
                     continue
                 found.append((start + a, start + b, chain, back))
         return found
@@ -429,11 +433,16 @@ def _in_backticks(line: str, a: int, b: int) -> bool:
     return bool(quoted) and all(any(i <= k < j for i, j in quoted) for k in range(a, b) if ord(line[k]) > 127)
 
 
+def _short(line: str, a: int, b: int) -> bool:
+    beyond = [k for k in range(a, b) if ord(line[k]) > 127]
+    return beyond[-1] - beyond[0] < QUOTED
+
+
 def _alone(line: str, a: int, b: int) -> bool:
     """Whether nothing else is on the line (no two ASCII letters in a row), or in the quotes around the characters."""
     beyond = [k for k in range(a, b) if ord(line[k]) > 127]
     before, after = line[max(0, beyond[0] - 2) : beyond[0]], line[beyond[-1] + 1 : beyond[-1] + 3]
-    quoted = beyond[-1] - beyond[0] < 16 and re.search(r"""["']""", before) and re.search(r"""["']""", after)
+    quoted = _short(line, a, b) and re.search(r"""["']""", before) and re.search(r"""["']""", after)
     return bool(quoted) or not re.search(r"[A-Za-z]{2}", line)
 
 

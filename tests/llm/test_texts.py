@@ -246,6 +246,12 @@ def test_clean_and_quoted_text_is_no_case(model):
     assert model.passages("") == [] and model.passages("ascii only") == []
 
 
+def test_long_passages_beside_code_that_decodes_are_no_quotations(model):
+    bad = garbled.Chain("utf-8", "cp1252").garble(SENTENCES[4])
+    assert [back for *_, back in model.passages("raw = open(name, 'rb').read().decode('utf-8')\n" + bad)] == [SENTENCES[4]]
+    assert model.passages(f"print('{SENTENCES[4]}'.encode('utf-8').decode('cp1252'))\n" + bad) == []
+
+
 def test_every_chain_inverts_what_it_garbles():
     for chain in garbled.CHAINS:
         for s in SENTENCES:
