@@ -51,7 +51,12 @@ RUN_WORDS, REPLACED = 20, 8
 SHARD_WORDS = 1 << 20
 MOST_TEST_BYTES = 256 << 20
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,300}>|<!--.{0,2000}?-->|\]\([^()\s]*\)", re.S)
+# Tags of any length and over lines, if every attribute has a value: one of any length without blanks or of a kind that holds no prose, else under 20 words.
+_BLANK = r"(?:\s|\\n)"
+_VALUE = r"""(?:\\*"[^"\s]*+"|'[^'\s]*+'|\\*"\s*+(?:[^"\s]++\s*+){0,19}"|'\s*+(?:[^'\s]++\s*+){0,19}'|[^\s"'=<>`\\]++)"""
+_PLAIN = r"""(?:style|class|d|points|src|srcset|href|transform)\s*+=\s*+(?:\\*"[^"]*+"|'[^']*+')"""
+_LONG_TAG = rf"<[A-Za-z][\w:.-]*+(?>{_BLANK}++(?:{_PLAIN}|[A-Za-z_:@][\w:.-]*+\s*+=\s*+{_VALUE}))++{_BLANK}*+/?>"
+_TAG = re.compile(_LONG_TAG + r"|</?[A-Za-z][^<>\n]{0,300}>|<!--.{0,2000}?-->|\]\([^()\s]*\)", re.S)
 _CODE = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|[ntrbf\"'/])|\\+")
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")

@@ -139,6 +139,19 @@ def test_removal_spans_are_whole(spark):
     assert {tuple(r) for r in leaks.leaked(d, i).collect()} == {(1, 10), (2, 10), (3, 10)}
 
 
+def test_tags_of_any_length_are_no_words():
+    image = "<img alt='a chart'\n src=\"data:image/png;base64," + "iVBORw0KGgo+/A9z" * 60 + '" width=10/>'
+    w = replaced(ITEM_A, 8).split()
+    for tag in (image, image.replace('"', '\\"').replace("\n", "\\n"), '<div style="' + "margin: 1px; " * 40 + '">', "<p\n class='x'>"):
+        assert leaks.words(f"one {tag} two") == ["one", "two"]
+        assert "".join(leaks.blank_markup(tag).split()) == "" and len(leaks.blank_markup(tag)) == len(tag)
+    test = leaks.TestSet([(1, ITEM_A)])
+    symbols = np.array([test.vocabulary.get(x, 0) for x in leaks.words(" ".join([*w[:60], image, *w[60:]]))], np.int64)
+    assert leaks.search_shard(test, symbols, np.array([0, len(symbols)]))
+    for prose in ("if a <b and c\n> d", "<img alt='" + ITEM_A + "' src='x'>"):
+        assert len(leaks.words(prose)) > 4
+
+
 def test_common_length():
     r = random.Random(1)
     for _ in range(50):
