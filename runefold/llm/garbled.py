@@ -142,12 +142,13 @@ def _write(text: str, encoding: str) -> bytes:
 def chains() -> list[Chain]:
     legacy = ["cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "cp866"]
     out = [Chain("utf-8", w) for w in ("latin-1", "cp1252", "cp1254", *legacy, "gb18030", "big5", "cp932")]
-    out += [Chain("utf-8", "cp1252", 2), Chain("utf-8", "latin-1", 2), Chain("utf-8", "cp1252", 3)]
+    out += [Chain("utf-8", "cp1252", 2), Chain("utf-8", "latin-1", 2), Chain("utf-8", "cp1252", 3), Chain("utf-8", "cp1250", 2), Chain("utf-8", "cp1251", 2)]
     out += [Chain("utf-8", w, 1, "replace") for w in ("ascii", "cp1252", "gb18030", "big5", "cp932")]
     out += [Chain("utf-8", w, 1, "drop") for w in ("latin-1", "cp1252")] + [Chain("utf-8", "cp1252", 2, "drop")]
     out += [Chain("cp1252", w) for w in (*legacy, "gb18030", "cp932")] + [Chain("cp1252", w, 1, "replace") for w in ("gb18030", "cp932")]
     for true in ("cp1250", "cp1254", "cp1251", "koi8-r", "cp866", "cp850", "cp437", "mac_roman"):
         out.append(Chain(true, "cp1252"))
+    out += [Chain(true, wrong) for true in ("iso8859-2", "cp852") for wrong in ("cp1252", "latin-1")] + [Chain(true, "cp1252") for true in ("iso8859-5", "mac_cyrillic")]
     out += [Chain(true, "utf-8", 1, "replace") for true in ("cp1252", "cp1250", "cp1254", "cp1251", "koi8-r", "shift_jis", "euc_jp", "gbk", "big5")]
     out += [Chain(a, b) for a in ("cp1251", "koi8-r", "cp866") for b in ("cp1251", "koi8-r", "cp866", "mac_roman", "cp437") if a != b]
     for true in ("shift_jis", "euc_jp", "gbk", "big5"):

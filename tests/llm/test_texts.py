@@ -244,6 +244,15 @@ def test_words_outside_of_the_sample_vouch(spark, model):
     assert all(sampled.vouched(w) for w in text.split() if not w.isascii()) and not sampled.vouched("Bärlauch") and "ß" in sampled.usual
 
 
+@pytest.mark.parametrize(("true", "wrong", "rounds", "which"), [("iso8859-2", "cp1252", 1, 5), ("iso8859-2", "latin-1", 1, 5), ("cp852", "cp1252", 1, 5), ("cp852", "latin-1", 1, 5), ("iso8859-5", "cp1252", 1, 4), ("mac_cyrillic", "cp1252", 1, 4), ("utf-8", "cp1250", 2, 2), ("utf-8", "cp1251", 2, 5)])
+def test_further_chains_are_found_and_restored(model, true, wrong, rounds, which):
+    bad = garbled.Chain(true, wrong, rounds).garble(SENTENCES[which])
+    text, at = "", 0
+    for a, b, _, back in sorted(model.passages(bad), key=lambda f: f[:2]):
+        text, at = text + bad[at:a] + back, b
+    assert text + bad[at:] == SENTENCES[which]
+
+
 def test_lost_bytes_are_found_but_not_restored(model):
     bad = garbled.Chain("cp1252", "utf-8", 1, "replace").garble(SENTENCES[0])
     found = model.passages(bad)
