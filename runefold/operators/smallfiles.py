@@ -160,7 +160,7 @@ def _merge(files: DataFrame, bins: int, out: str, group_bytes: int) -> DataFrame
                 src, at = open_fs(p)
                 with src.open_input_file(at) as f:
                     data = f.read()
-                kind = read_footer(data).fingerprint()
+                kind = read_footer(data).fingerprint
                 if kind not in writers:
                     tmp = f"{root}/.{bin_:06d}-{kind}.{uuid.uuid4().hex}.tmp"
                     sink = fs.open_output_stream(tmp)
@@ -177,7 +177,7 @@ def _merge(files: DataFrame, bins: int, out: str, group_bytes: int) -> DataFrame
                         f.seek(0)
                         tail = f.read()
                 back = read_footer(tail)
-                if back.rows != w.rows or back.fingerprint() != kind or len(back.groups) != len(w.out):
+                if back.rows != w.rows or back.fingerprint != kind or len(back.groups) != len(w.out):
                     raise BlockError(f"{final}: footer does not match what was copied")
                 fs.move(tmp, final)
                 yield bin_, f"{out.rstrip('/')}/{final.rsplit('/', 1)[1]}", kind, w.files, w.blocks_in, w.rows, len(back.groups), back.rows, size

@@ -10,24 +10,37 @@ Two ways, chosen per file:
 
 The footer of the result is the first file's, with row groups, row counts and
 statistics rewritten. Page indexes and bloom filters live outside the copied
-ranges, so their pointers are dropped.
+ranges, so their pointers are dropped. Bounds of a fused chunk are merged in
+the order of the column's logical type (``bounds_order``); where that order is
+not known, or a file does not state it, the chunk gets no bounds, so a pushed
+filter reads it rather than losing rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct as packing
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from runefold.functions import thrift
 from runefold.functions.thrift import BINARY, I32, I64, LIST, STRUCT
 
 MAGIC = b"PAR1"
 # Field ids of the public Parquet footer definition.
-SCHEMA, NUM_ROWS, ROW_GROUPS = 2, 3, 4
+SCHEMA, NUM_ROWS, ROW_GROUPS, COLUMN_ORDERS, ENCRYPTION = 2, 3, 4, 7, 8
+SE_TYPE, SE_CONVERTED, SE_LOGICAL = 1, 6, 10
+BOOLEAN, INT32, INT64, FLOAT, DOUBLE, BYTES, FIXED = 0, 1, 2, 4, 5, 6, 7
+LT_DECIMAL, LT_INTEGER = 5, 10
+# Annotations whose values sort as signed numbers, as unsigned numbers, and byte by byte (converted and logical types).
+SIGNED_CONVERTED, UNSIGNED_CONVERTED, TEXT_CONVERTED, DECIMAL_CONVERTED = (5, 6, 7, 8, 9, 10, 15, 16, 17, 18), (11, 12, 13, 14), (0, 4, 19, 20), 5
+SIGNED_LOGICAL, TEXT_LOGICAL = (5, 6, 7, 8), (1, 4, 12, 13, 14)
+DICTIONARY_ENCODINGS = (2, 8)
 RG_COLUMNS, RG_BYTES, RG_ROWS, RG_OFFSET, RG_COMPRESSED, RG_ORDINAL = 1, 2, 3, 5, 6, 7
 CC_OFFSET, CC_META = 2, 3
-CM_TYPE, CM_CODEC, CM_VALUES, CM_RAW, CM_SIZE, CM_DATA, CM_INDEX, CM_DICT, CM_STATS = 1, 4, 5, 6, 7, 9, 10, 11, 12
+CM_TYPE, CM_ENCODINGS, CM_CODEC, CM_VALUES, CM_RAW, CM_SIZE, CM_DATA, CM_INDEX, CM_DICT, CM_STATS = 1, 2, 4, 5, 6, 7, 9, 10, 11, 12
 OUTSIDE_CHUNK, OUTSIDE_META = (4, 5, 6, 7), (14, 15)
 ST_NULLS, ST_MAX, ST_MIN = 3, 5, 6
 
@@ -36,6 +49,39 @@ class BlockError(ValueError):
     """A file is no Parquet file, or the merged file fails its validation."""
 
 
+def bounds_order(element: dict) -> Callable | None:
+    """Sort key for the encoded bounds of a column, from its schema element; None where bounds can't be merged.
+
+    A logical type counts before the older converted one. Unsigned integers,
+    decimals held as bytes and floats (zeros of either sign apart, NaN never a
+    bound) have orders of their own; INT96, intervals and types not known here have none.
+    """
+    kind = element[SE_TYPE][1]
+    logical = next(iter(element[SE_LOGICAL][1].items()), None) if SE_LOGICAL in element else None
+    converted = element[SE_CONVERTED][1] if SE_CONVERTED in element else None
+    name = logical[0] if logical else None
+    if name is None:
+        plain, decimal = converted is None, converted == DECIMAL_CONVERTED
+        signed, unsigned, text = converted in SIGNED_CONVERTED, converted in UNSIGNED_CONVERTED, converted in TEXT_CONVERTED
+    else:
+        plain, decimal, text = False, name == LT_DECIMAL, name in TEXT_LOGICAL
+        is_signed = name == LT_INTEGER and logical[1][1].get(2, (thrift.TRUE,))[0] == thrift.TRUE
+        signed, unsigned = name in SIGNED_LOGICAL or is_signed, name == LT_INTEGER and not is_signed
+    if kind in (INT32, INT64):
+        if not (plain or signed or unsigned):
+            return None
+        width = 4 if kind == INT32 else 8
+        return lambda b: int.from_bytes(b[:width], "little", signed=not unsigned)
+    if kind in (FLOAT, DOUBLE) and plain:
+        form = "<f" if kind == FLOAT else "<d"
+        return lambda b: (v := packing.unpack(form, b)[0], math.copysign(1, v))
+    if kind in (BYTES, FIXED):
+        if decimal:
+            return lambda b: int.from_bytes(b, "big", signed=True)
+        return bytes if plain or text else None
+    return bytes if kind == BOOLEAN and plain else None
+
+
 @dataclass
 class Footer:
     """Parsed footer of one file."""
@@ -50,15 +96,24 @@ class Footer:
     def groups(self) -> list[dict]:
         return self.meta[ROW_GROUPS][1][1] if ROW_GROUPS in self.meta else []
 
+    @cached_property
     def fingerprint(self) -> str:
-        """Of the schema and of what must agree for files to share chunks."""
-        return hashlib.sha256(thrift.dump({SCHEMA: self.meta[SCHEMA]})).hexdigest()[:16]
-
-    def codecs(self) -> tuple:
-        return tuple(c[CC_META][1][CM_CODEC][1] for g in self.groups[:1] for c in g[RG_COLUMNS][1][1])
+        """Of the schema and of the orders in which bounds are stated: what must agree for files to share chunks."""
+        shared = {f: self.meta[f] for f in (SCHEMA, COLUMN_ORDERS) if f in self.meta}
+        return hashlib.sha256(thrift.dump(shared)).hexdigest()[:16]
+
+    def orders(self) -> list[Callable | None]:
+        """Per leaf column how its bounds sort."""
+        leaves = [e for e in self.meta[SCHEMA][1][1] if SE_TYPE in e]
+        stated = self.meta[COLUMN_ORDERS][1][1] if COLUMN_ORDERS in self.meta else []
+        # 1: the order that the column's type defines. Bounds under another order, or none, can't be read.
+        known = [1 in o for o in stated] if len(stated) == len(leaves) else [False] * len(leaves)
+        return [bounds_order(e) if k else None for e, k in zip(leaves, known)]
 
     def fusible(self) -> bool:
-        return all(CM_DICT not in c[CC_META][1] for g in self.groups for c in g[RG_COLUMNS][1][1])
+        """No chunk has a dictionary: neither an offset of one nor, as older writers left it out, an encoding that needs one."""
+        metas = [c[CC_META][1] for g in self.groups for c in g[RG_COLUMNS][1][1]]
+        return all(CM_DICT not in m and not any(e in DICTIONARY_ENCODINGS for e in m[CM_ENCODINGS][1][1]) for m in metas)
 
 
 def read_footer(data: bytes) -> Footer:
@@ -68,7 +123,10 @@ def read_footer(data: bytes) -> Footer:
     n = packing.unpack("<I", data[-8:-4])[0]
     if n + 8 > len(data):
         raise BlockError("footer is longer than the bytes given")
-    return Footer(thrift.load(data[-8 - n : -8]))
+    footer = Footer(thrift.load(data[-8 - n : -8]))
+    if ENCRYPTION in footer.meta:
+        raise BlockError("encrypted files can't be merged")
+    return footer
 
 
 def _span(chunk: dict) -> tuple[int, int]:
@@ -77,25 +135,27 @@ def _span(chunk: dict) -> tuple[int, int]:
     return start, m[CM_SIZE][1]
 
 
-def _merged_stats(metas: list[dict]) -> dict | None:
-    """Bounds over several chunks; None where they can't be told without decoding."""
-    kind = metas[0][CM_TYPE][1]
-    read = {1: lambda b: packing.unpack("<i", b)[0], 2: lambda b: packing.unpack("<q", b)[0], 6: bytes}.get(kind)
+def _merged_stats(metas: list[dict], order: Callable | None) -> dict | None:
+    """Null count and bounds over several chunks; what can't be told without decoding is left out."""
     nulls, low, high = 0, None, None
     for m in metas:
         s = m[CM_STATS][1] if CM_STATS in m else None
         if s is None or ST_NULLS not in s:
             return None
         nulls += s[ST_NULLS][1]
-        if s[ST_NULLS][1] == m[CM_VALUES][1]:
+        if order is None or s[ST_NULLS][1] == m[CM_VALUES][1]:
+            continue
+        if ST_MIN not in s or ST_MAX not in s:
+            order = None
             continue
-        if read is None or ST_MIN not in s or ST_MAX not in s:
-            read = None
+        ends = s[ST_MIN][1], s[ST_MAX][1]
+        if any(isinstance(k := order(b), tuple) and k[0] != k[0] for b in ends):
+            order = None  # NaN is no bound
             continue
-        low = s[ST_MIN][1] if low is None else min(low, s[ST_MIN][1], key=read)
-        high = s[ST_MAX][1] if high is None else max(high, s[ST_MAX][1], key=read)
+        low = ends[0] if low is None else min(low, ends[0], key=order)
+        high = ends[1] if high is None else max(high, ends[1], key=order)
     out = {ST_NULLS: (I64, nulls)}
-    if read is not None and low is not None:
+    if order is not None and low is not None:
         out |= {ST_MAX: (BINARY, high), ST_MIN: (BINARY, low)}
     return out
 
@@ -105,16 +165,16 @@ class BlockWriter:
 
     def __init__(self, sink, group_bytes: int = 64 << 20):
         self.sink, self.group_bytes = sink, group_bytes
-        self.at, self.first, self.out = 4, None, []
+        self.at, self.first, self.orders, self.out = 4, None, [], []
         self.open: list[tuple[dict, bytes]] = []
         self.open_bytes = self.rows = self.files = self.blocks_in = 0
         sink.write(MAGIC)
 
-    def add(self, data: bytes) -> None:
-        footer = read_footer(data)
+    def add(self, data: bytes, footer: Footer | None = None) -> None:
+        footer = footer or read_footer(data)
         if self.first is None:
-            self.first = footer
-        elif footer.fingerprint() != self.first.fingerprint():
+            self.first, self.orders = footer, footer.orders()
+        elif footer.fingerprint != self.first.fingerprint:
             raise BlockError("schemas differ")
         self.files += 1
         self.rows += footer.rows
@@ -177,15 +237,15 @@ class BlockWriter:
             for c, (_, data) in zip(chunks, self.open):
                 at, size = _span(c)
                 self._put(data[at : at + size])
-            encodings = sorted({e for m in metas for e in m[2][1][1]})
+            encodings = sorted({e for m in metas for e in m[CM_ENCODINGS][1][1]})
             meta = {k: v for k, v in metas[0].items() if k in (CM_TYPE, 3, CM_CODEC)} | {
-                2: (LIST, (I32, encodings)),
+                CM_ENCODINGS: (LIST, (I32, encodings)),
                 CM_VALUES: (I64, sum(m[CM_VALUES][1] for m in metas)),
                 CM_RAW: (I64, sum(m[CM_RAW][1] for m in metas)),
                 CM_SIZE: (I64, self.at - begin),
                 CM_DATA: (I64, begin),
             }
-            if stats := _merged_stats(metas):
+            if stats := _merged_stats(metas, self.orders[i]):
                 meta[CM_STATS] = (STRUCT, stats)
             columns.append({CC_OFFSET: (I64, begin), CC_META: (STRUCT, meta)})
         self._seal(columns, sum(g[RG_ROWS][1] for g, _ in self.open), sum(g[RG_BYTES][1] for g, _ in self.open), start)

@@ -1,9 +1,12 @@
 """Consolidation of files, change feeds and the work-item ledger on small fixtures."""
 
+import datetime
+import decimal
 import os
 import random
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +47,60 @@ def test_blocks_are_copied_not_changed(tmp_path, options):
         assert (s.min, s.max, s.null_count) == (min(known), max(known), len(rows) - len(known))
 
 
+BOUNDS = {
+    "unsigned": (pa.uint32(), [[1, 3_000_000_000], [5, 10]]),
+    "unsigned_wide": (pa.uint64(), [[2**63 + 5, 7], [1, 2**64 - 1]]),
+    "negative": (pa.int64(), [[-5, 3], [-(2**40), 2**40]]),
+    "date": (pa.date32(), [[datetime.date(1960, 1, 1)], [datetime.date(2020, 1, 1), None]]),
+    "decimal": (pa.decimal128(30, 2), [[decimal.Decimal("-12345678901234567890.25"), decimal.Decimal("3.50")], [decimal.Decimal("99999999999999999999.00")]]),
+    "small_decimal": (pa.decimal128(7, 2), [[decimal.Decimal("-3.25")], [decimal.Decimal("-1.00"), decimal.Decimal("2.00")]]),
+    "text": (pa.string(), [["z", "é"], ["", "a"]]),
+    "bytes": (pa.binary(), [[b"\xff\x01", b"\x7f"], [b"", b"\x80"]]),
+    "double": (pa.float64(), [[-1.5, 2.5], [float("nan"), 100.0]]),
+    "zeros": (pa.float64(), [[0.0], [-0.0]]),
+    "stamp": (pa.timestamp("us"), [[datetime.datetime(1950, 1, 1)], [datetime.datetime(2030, 1, 1)]]),
+    "flag": (pa.bool_(), [[True], [False, None]]),
+}
+
+
+@pytest.mark.parametrize("name", BOUNDS)
+def test_pushed_filters_lose_no_row_of_a_merged_file(spark, tmp_path, name):
+    kind, parts = BOUNDS[name]
+    with open(tmp_path / "out.parquet", "wb") as sink:
+        w = BlockWriter(sink)
+        for i, part in enumerate(parts):
+            for options in ({}, {"store_decimal_as_integer": True}) if name == "small_decimal" else ({},):
+                pq.write_table(pa.table({"x": pa.array(part, kind)}), tmp_path / f"{i}", use_dictionary=False, **options)
+            w.add((tmp_path / f"{i}").read_bytes())
+        w.close()
+    path = tmp_path / "out.parquet"
+    assert pq.ParquetFile(path).metadata.num_row_groups == 1
+    for v in (v for part in parts for v in part if v is not None):
+        if v == v:
+            want = sum(w == v for part in parts for w in part)
+            assert pq.read_table(path, filters=pc.field("x") == pa.scalar(v, kind)).num_rows == want
+            lit = F.lit(decimal.Decimal(v) if name == "unsigned_wide" else v)
+            assert spark.read.parquet(f"file://{path}").where(F.col("x") == lit).count() == want
+    s = pq.ParquetFile(path).metadata.row_group(0).column(0).statistics
+    known = [v for part in parts for v in part if v is not None and v == v]
+    if name in ("double", "unsigned", "unsigned_wide", "negative", "stamp", "text", "bytes", "small_decimal"):
+        assert (s.min, s.max) == (min(known), max(known))
+
+
+def test_files_with_dictionaries_keep_their_row_groups(tmp_path):
+    rows = [{"s": "ab" * (i % 3), "n": i % 7} for i in range(400)]
+    with open(tmp_path / "out", "wb") as sink:
+        w = BlockWriter(sink)
+        for i in range(4):
+            pq.write_table(pa.Table.from_pylist(rows[100 * i : 100 * i + 100]), tmp_path / "in", use_dictionary=True, row_group_size=50)
+            w.add((tmp_path / "in").read_bytes())
+        w.close()
+    meta = pq.ParquetFile(tmp_path / "out").metadata
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [50] * 8  # as many and as large as in the inputs
+    assert pq.read_table(tmp_path / "out").to_pylist() == rows
+    assert pq.read_table(tmp_path / "out", filters=[("n", "==", 6)]).num_rows == sum(r["n"] == 6 for r in rows)
+
+
 def test_damaged_and_foreign_files_are_refused(tmp_path):
     write_files(tmp_path, 1)
     data = (tmp_path / "0.parquet").read_bytes()
