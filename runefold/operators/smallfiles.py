@@ -1,9 +1,17 @@
 """Far too many small files: consolidation by copying encoded blocks.
 
-``consolidate`` takes a table of file paths, spreads them over bins of about
-``target_bytes`` and lets one task per bin copy the files' encoded column
-blocks into one larger file with a rewritten footer (``sources.blocks``). Only
-paths and sizes are shuffled; no value is decoded or re-encoded.
+``consolidate`` takes a table of file paths, cuts it in order of path into bins
+and lets one task per bin copy the files' encoded column blocks into one larger
+file with a rewritten footer (``sources.blocks``). Only paths and sizes are
+shuffled; no value is decoded or re-encoded.
+
+A file weighs its share of ``target_bytes``, but at least 1 / ``FAN_IN``; a bin
+takes weight 1. Where files are so small that bins end far below
+``target_bytes``, the bins' files are binned again, until they are well sized
+(a level is 256 times fewer files, so two levels take 65,536 files a result);
+intermediate files are deleted. Row groups without dictionaries fuse at every
+level; those with dictionaries stay as they are, so such results have few files
+but the row groups of the inputs.
 
 Defined results
 * A file whose schema differs from the first of its bin goes to another output
@@ -21,17 +29,22 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runefold.shared import free_name, open_fs, parallelism, workspace, written
-from runefold.sources.blocks import BlockError, BlockWriter, read_footer
+from runefold.shared import free_name, open_fs, parallelism, remove, workspace, written
+from runefold.sources.blocks import BlockError, BlockWriter, Ranged, read_footer
 
-#: Files that one task opens at most, about.
+#: Files that one task copies, about.
 FAN_IN = 256
-REPORT = "bin long, path string, schema string, files long, blocks_in long, rows_in long, blocks long, rows long, bytes long"
+#: Files read ahead of the copying where they lie on another machine.
+AHEAD = 16
+REPORT = "bin long, path string, schema string, files long, blocks_in long, rows_in long, blocks long, rows long, bytes long, inputs array<string>"
 
 
 def last_component(path) -> F.Column:
@@ -49,7 +62,7 @@ def listed_tables(sstables: DataFrame, levels: DataFrame) -> DataFrame:
     return sstables.select("store_id", "sst_id", last_component("base_path").alias("name")).join(names, ["store_id", "name"], "left_semi").select("store_id", "sst_id").distinct()
 
 
-def export_tables(records: DataFrame, tables: DataFrame, out: str, part_rows: int = 200_000) -> DataFrame:
+def export_tables(records: DataFrame, tables: DataFrame, out: str, part_rows: int = 1 << 16) -> DataFrame:
     """One small file per sorted table under ``out``; gives ``path, size, rows``.
 
     This lays the records out as the store's own directories hold them: a file
@@ -82,7 +95,8 @@ def export_tables(records: DataFrame, tables: DataFrame, out: str, part_rows: in
                 fs.create_dir(folder, recursive=True)
                 made.add(folder)
             sink = pa.BufferOutputStream()
-            pq.write_table(table, sink, use_dictionary=False, compression="zstd")
+            with pq.ParquetWriter(sink, table.schema, use_dictionary=False, compression="snappy", store_schema=False) as w:
+                w.write_table(table)
             data = sink.getvalue()
             name = f"{folder}/{store}-{sst}-{number}.parquet"
             tmp = f"{folder}/.{uuid.uuid4().hex}.tmp"
@@ -120,80 +134,127 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder).select("path", F.col("length").alias("size"))
 
 
-def consolidate(files: DataFrame, out: str, target_bytes: int = 128 << 20, group_bytes: int = 64 << 20) -> DataFrame:
-    """Copy ``files`` (``path, size``) into few files below ``out``; gives the report, one row per output
-    (where there were intermediate files, ``files`` counts those)."""
+def consolidate(files: DataFrame, out: str, target_bytes: int = 128 << 20, group_bytes: int = 64 << 20, trail: str | None = None) -> DataFrame:
+    """Copy ``files`` (``path, size``) into few files below ``out``; gives the report, one row per output.
+
+    ``files`` in the report counts input files, ``blocks_in`` and ``inputs``
+    what the last level copied. With ``trail``, a table ``path, output`` of
+    every input file and the output that holds it is written there.
+    """
+    spark = files.sparkSession
+    listed = files.where("path is not null").groupBy("path").agg(F.max("size").alias("size")).select("path", "size", F.lit(1).cast("long").alias("files"), F.lit("").alias("schema"))
+    places, level, before = None, 0, None
+    base = workspace(spark, "consolidate")
+    while True:
+        ordered, n, n_files, n_bytes, bins = _binned(listed, target_bytes, f"{base}/listing-{level}")
+        # Well sized, or no longer fewer: files of many schemas can't share an output.
+        last = bins <= 1.5 * math.ceil(n_bytes / target_bytes) or bins == 1 or (before is not None and 2 * n > before)
+        before = n
+        folder = out.rstrip("/") if last else f"{base}/level-{level}"
+        report = _validated(_merge(ordered, bins, folder, group_bytes), n_files, f"{base}/report-{level}")
+        if trail:
+            step = report.select(F.explode("inputs").alias("path"), F.col("path").alias("output"))
+            places = step if places is None else places.withColumnRenamed("output", "__at").join(step.withColumnRenamed("path", "__at"), "__at").select("path", "output")
+        if level:
+            remove(spark, f"{base}/level-{level - 1}")
+        if last:
+            break
+        listed = report.select("path", F.col("bytes").alias("size"), "files", "schema")
+        level += 1
+    if trail:
+        places.write.mode("overwrite").parquet(trail)
+    return report
+
+
+def _binned(files: DataFrame, target_bytes: int, at: str) -> tuple[DataFrame, int, int, int, int]:
+    """``(files with their bin, files, input files they stand for, bytes, bins)``: running weight in order of schema and path, over ranges with offsets, so no task sees all paths."""
     spark = files.sparkSession
-    files = files.where("path is not null").groupBy("path").agg(F.max("size").alias("size"))
-    files = written(files, workspace(spark, "listing"))
-    total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-    bins = max(1, math.ceil(total["b"] / target_bytes))
-    # One task opens at most about FAN_IN files: where bins would hold more, the files first go to intermediate bins.
-    between = math.ceil(total["n"] / FAN_IN)
-    if between > bins:
-        first = _validated(_merge(files, between, f"{out.rstrip('/')}-between", group_bytes), total["n"])
-        last = consolidate(first.select("path", F.col("bytes").alias("size")), out, target_bytes, group_bytes)
-        a, b = (x.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("r")).first()["r"] for x in (first, last))
-        if a != b:
-            raise BlockError(f"{a} rows went into the intermediate files, {b} came out")
-        return last
-    return _validated(_merge(files, bins, out, group_bytes), total["n"])
-
-
-def _validated(report: DataFrame, listed: int) -> DataFrame:
-    report = written(report, workspace(report.sparkSession, "report"))
+    ranged = files.repartitionByRange(parallelism(spark), "schema", "path").withColumn("__p", F.spark_partition_id())
+    ranged = written(ranged.withColumn("__w", F.greatest(F.coalesce("size", F.lit(0)) / F.lit(float(target_bytes)), F.lit(1.0 / FAN_IN))), at)
+    sums = ranged.groupBy("__p").agg(F.count("*").alias("n"), F.sum("__w").alias("w"), F.sum("files").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
+    total = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "w", "files", "size"))).first()
+    # One row per range: bounded by the number of partitions.
+    before = sums.select("__p", F.coalesce(F.sum("w").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))
+    running = F.coalesce(F.sum("__w").over(W.partitionBy("__p").orderBy("schema", "path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    binned = ranged.withColumn("__run", running).join(F.broadcast(before), "__p").withColumn("bin", F.floor(F.col("__run") + F.col("__before")).cast("int"))
+    return binned.select("path", "files", "bin"), total["n"], total["files"], total["size"], int(total["w"]) + 1
+
+
+def _validated(report: DataFrame, listed: int, at: str) -> DataFrame:
+    report = written(report, at)
     seen = report.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files", "rows_in", "rows"))).first()
     if seen["files"] != listed or seen["rows_in"] != seen["rows"]:
         raise BlockError(f"{listed} files were listed, {seen['files']} copied; rows {seen['rows_in']} in, {seen['rows']} out")
     return report
 
 
+def _contents(paths: list[str], group_bytes: int) -> Iterator:
+    """The bytes of each file in turn; files above ``group_bytes`` are read in ranges, others ahead where reading waits for a network."""
+    from pyarrow import fs
+
+    def fetch(path: str):
+        src, at = open_fs(path)
+        f = src.open_input_file(at)
+        size = f.size()
+        if size > group_bytes:
+            return Ranged(f, size)
+        with f:
+            return f.read()
+
+    if not paths or isinstance(open_fs(paths[0])[0], fs.LocalFileSystem):
+        yield from map(fetch, paths)
+        return
+    with ThreadPoolExecutor(AHEAD) as pool:
+        waiting = [pool.submit(fetch, p) for p in paths[:AHEAD]]
+        for i in range(len(paths)):
+            yield waiting.pop(0).result()
+            if i + AHEAD < len(paths):
+                waiting.append(pool.submit(fetch, paths[i + AHEAD]))
+
+
 def _merge(files: DataFrame, bins: int, out: str, group_bytes: int) -> DataFrame:
-    spread = files.withColumn("bin", F.pmod(F.xxhash64("path"), F.lit(bins))).repartition(bins, "bin").sortWithinPartitions("bin", "path")
+    """One output per bin and schema; ``files`` has ``path, files, bin``."""
+    spread = files.repartitionById(bins, F.col("bin")).sortWithinPartitions("bin", "path")
 
     def merge(batches):
-        def pour(bin_, paths):
+        def pour(bin_, members):
             fs, root = open_fs(out)
             fs.create_dir(root, recursive=True)
             writers = {}
-            for p in paths:
-                src, at = open_fs(p)
-                with src.open_input_file(at) as f:
-                    data = f.read()
-                kind = read_footer(data).fingerprint
+            for (p, n), data in zip(members, _contents([p for p, _ in members], group_bytes)):
+                footer = read_footer(data)
+                kind = footer.fingerprint
                 if kind not in writers:
                     tmp = f"{root}/.{bin_:06d}-{kind}.{uuid.uuid4().hex}.tmp"
                     sink = fs.open_output_stream(tmp)
-                    writers[kind] = (BlockWriter(sink, group_bytes), sink, tmp)
-                writers[kind][0].add(data)
-            for kind, (w, sink, tmp) in writers.items():
+                    writers[kind] = (BlockWriter(sink, group_bytes), sink, tmp, [])
+                writers[kind][0].add(data, footer, n)
+                writers[kind][3].append(p)
+                if isinstance(data, Ranged):
+                    data.file.close()
+            for kind, (w, sink, tmp, inputs) in writers.items():
                 size = w.close()
                 sink.close()
                 final = f"{root}/bin-{bin_:06d}-{kind}.parquet"
                 with fs.open_input_file(tmp) as f:
-                    f.seek(max(0, size - (1 << 20)))
-                    tail = f.read()
-                    if len(tail) < size and int.from_bytes(tail[-8:-4], "little") + 8 > len(tail):
-                        f.seek(0)
-                        tail = f.read()
-                back = read_footer(tail)
+                    back = read_footer(Ranged(f, size))
                 if back.rows != w.rows or back.fingerprint != kind or len(back.groups) != len(w.out):
                     raise BlockError(f"{final}: footer does not match what was copied")
                 fs.move(tmp, final)
-                yield bin_, f"{out.rstrip('/')}/{final.rsplit('/', 1)[1]}", kind, w.files, w.blocks_in, w.rows, len(back.groups), back.rows, size
+                yield bin_, f"{out.rstrip('/')}/{final.rsplit('/', 1)[1]}", kind, w.files, w.blocks_in, w.rows, len(back.groups), back.rows, size, inputs
 
-        names = ["bin", "path", "schema", "files", "blocks_in", "rows_in", "blocks", "rows", "bytes"]
-        now, paths = None, []
+        names = ["bin", "path", "schema", "files", "blocks_in", "rows_in", "blocks", "rows", "bytes", "inputs"]
+        now, members = None, []
         for b in batches:
-            for bin_, path in zip(b.column("bin").to_pylist(), b.column("path").to_pylist()):
+            for bin_, path, n in zip(*(b.column(c).to_pylist() for c in ("bin", "path", "files"))):
                 if now is not None and bin_ != now:
-                    for r in pour(now, paths):
+                    for r in pour(now, members):
                         yield pa.RecordBatch.from_pylist([dict(zip(names, r))])
-                    paths = []
+                    members = []
                 now = bin_
-                paths.append(path)
-        if paths:
-            for r in pour(now, paths):
+                members.append((path, n))
+        if members:
+            for r in pour(now, members):
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r))])
 
     return spread.mapInArrow(merge, REPORT)
@@ -212,6 +273,7 @@ def consolidated_runs(spark: SparkSession, records: DataFrame, sstables: DataFra
     copied = report.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("r")).first()["r"]
     if expected != copied:
         raise BlockError(f"{expected} rows were exported, {copied} copied")
+    remove(spark, f"{base}/tables")  # laid out here, and copied whole
     if not expected:
         return spark.createDataFrame([], records.schema), report
     return spark.read.schema(records.schema).parquet(f"{base}/large"), report

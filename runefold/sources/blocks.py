@@ -99,8 +99,12 @@ class Footer:
     @cached_property
     def fingerprint(self) -> str:
         """Of the schema and of the orders in which bounds are stated: what must agree for files to share chunks."""
-        shared = {f: self.meta[f] for f in (SCHEMA, COLUMN_ORDERS) if f in self.meta}
-        return hashlib.sha256(thrift.dump(shared)).hexdigest()[:16]
+        schema, orders = self.meta[SCHEMA], self.meta.get(COLUMN_ORDERS)
+        if _last_print and _last_print[0] is schema and _last_print[1] == orders:
+            return _last_print[2]
+        print_ = hashlib.sha256(thrift.dump({SCHEMA: schema} | ({COLUMN_ORDERS: orders} if orders else {}))).hexdigest()[:16]
+        _last_print[:] = schema, orders, print_
+        return print_
 
     def orders(self) -> list[Callable | None]:
         """Per leaf column how its bounds sort."""
@@ -116,14 +120,20 @@ class Footer:
         return all(CM_DICT not in m and not any(e in DICTIONARY_ENCODINGS for e in m[CM_ENCODINGS][1][1]) for m in metas)
 
 
-def read_footer(data: bytes) -> Footer:
+#: Neighbouring small files mostly have one schema: it is read, and hashed, once.
+_schema_read = thrift.Prefix(SCHEMA)
+_last_print: list = []
+
+
+def read_footer(data) -> Footer:
     """Footer from the whole bytes, or the tail, of a file."""
-    if len(data) < 12 or data[-4:] != MAGIC:
+    end = data[-8:] if len(data) >= 12 else b""
+    if end[4:] != MAGIC:
         raise BlockError("no Parquet file")
-    n = packing.unpack("<I", data[-8:-4])[0]
+    n = packing.unpack("<I", end[:4])[0]
     if n + 8 > len(data):
         raise BlockError("footer is longer than the bytes given")
-    footer = Footer(thrift.load(data[-8 - n : -8]))
+    footer = Footer(thrift.load(data[-8 - n : -8], _schema_read))
     if ENCRYPTION in footer.meta:
         raise BlockError("encrypted files can't be merged")
     return footer
@@ -160,23 +170,66 @@ def _merged_stats(metas: list[dict], order: Callable | None) -> dict | None:
     return out
 
 
+class Chunk:
+    """One column of the fused row group that is open: the pages so far and what its footer needs."""
+
+    def __init__(self, order: Callable | None):
+        self.order, self.pages, self.kind, self.encodings = order, [], {}, set()
+        self.values = self.raw = 0
+        self.stats: list[dict] = []
+
+    def add(self, meta: dict, pages) -> None:
+        self.pages.append(pages)
+        self.kind = self.kind or {k: v for k, v in meta.items() if k in (CM_TYPE, 3, CM_CODEC)}
+        self.encodings.update(meta[CM_ENCODINGS][1][1])
+        self.values += meta[CM_VALUES][1]
+        self.raw += meta[CM_RAW][1]
+        self.stats.append({k: meta[k] for k in (CM_VALUES, CM_STATS) if k in meta})
+        if len(self.stats) >= 64:  # many small chunks: bounds are merged as they come
+            self._shrink()
+
+    def _shrink(self) -> dict | None:
+        merged = _merged_stats(self.stats, self.order)
+        if merged is not None and ST_MIN not in merged and merged[ST_NULLS][1] < sum(m[CM_VALUES][1] for m in self.stats):
+            self.order = None
+        self.stats = [{CM_VALUES: (I64, self.values)} | ({CM_STATS: (STRUCT, merged)} if merged is not None else {})]
+        return merged
+
+
+class Ranged:
+    """Bytes of a large file, read as they are asked for."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size = file, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: slice) -> bytes:
+        begin, end, _ = at.indices(self.size)
+        self.file.seek(begin)
+        return self.file.read(max(0, end - begin))
+
+
 class BlockWriter:
     """Appends files' blocks to one output. ``group_bytes`` bounds a fused row group."""
 
     def __init__(self, sink, group_bytes: int = 64 << 20):
         self.sink, self.group_bytes = sink, group_bytes
         self.at, self.first, self.orders, self.out = 4, None, [], []
-        self.open: list[tuple[dict, bytes]] = []
-        self.open_bytes = self.rows = self.files = self.blocks_in = 0
+        self.open: list[Chunk] = []
+        self.open_codecs: tuple = ()
+        self.open_bytes = self.open_rows = self.open_raw = self.rows = self.files = self.blocks_in = 0
         sink.write(MAGIC)
 
-    def add(self, data: bytes, footer: Footer | None = None) -> None:
+    def add(self, data, footer: Footer | None = None, files: int = 1) -> None:
+        """Append a file, given as its bytes or as ``Ranged``; ``files`` is how many it stands for."""
         footer = footer or read_footer(data)
         if self.first is None:
             self.first, self.orders = footer, footer.orders()
         elif footer.fingerprint != self.first.fingerprint:
             raise BlockError("schemas differ")
-        self.files += 1
+        self.files += files
         self.rows += footer.rows
         fuse = footer.fusible()
         for g in footer.groups:
@@ -184,16 +237,26 @@ class BlockWriter:
             if not g[RG_ROWS][1]:
                 continue
             if fuse:
-                if self.open and self._codecs(self.open[0][0]) != self._codecs(g):
-                    self._flush()
-                self.open.append((g, data))
-                self.open_bytes += sum(_span(c)[1] for c in g[RG_COLUMNS][1][1])
-                if self.open_bytes >= self.group_bytes:
-                    self._flush()
+                self._fuse(g, data)
             else:
                 self._flush()
                 self._carry(g, data)
 
+    def _fuse(self, g: dict, data) -> None:
+        codecs = self._codecs(g)
+        if codecs != self.open_codecs:
+            self._flush()
+        if not self.open:
+            self.open, self.open_codecs = [Chunk(o) for o in self.orders], codecs
+        for chunk, c in zip(self.open, g[RG_COLUMNS][1][1]):
+            at, size = _span(c)
+            chunk.add(c[CC_META][1], data[at : at + size])
+            self.open_bytes += size
+        self.open_rows += g[RG_ROWS][1]
+        self.open_raw += g[RG_BYTES][1]
+        if self.open_bytes >= self.group_bytes:
+            self._flush()
+
     @staticmethod
     def _codecs(g: dict) -> tuple:
         return tuple(c[CC_META][1][CM_CODEC][1] for c in g[RG_COLUMNS][1][1])
@@ -213,7 +276,7 @@ class BlockWriter:
             }
         )
 
-    def _carry(self, g: dict, data: bytes) -> None:
+    def _carry(self, g: dict, data) -> None:
         start, columns = self.at, []
         for c in g[RG_COLUMNS][1][1]:
             begin, size = _span(c)
@@ -230,26 +293,23 @@ class BlockWriter:
         if not self.open:
             return
         start, columns = self.at, []
-        for i in range(len(self.open[0][0][RG_COLUMNS][1][1])):
-            chunks = [g[RG_COLUMNS][1][1][i] for g, _ in self.open]
-            metas = [c[CC_META][1] for c in chunks]
+        for chunk in self.open:
             begin = self.at
-            for c, (_, data) in zip(chunks, self.open):
-                at, size = _span(c)
-                self._put(data[at : at + size])
-            encodings = sorted({e for m in metas for e in m[CM_ENCODINGS][1][1]})
-            meta = {k: v for k, v in metas[0].items() if k in (CM_TYPE, 3, CM_CODEC)} | {
-                CM_ENCODINGS: (LIST, (I32, encodings)),
-                CM_VALUES: (I64, sum(m[CM_VALUES][1] for m in metas)),
-                CM_RAW: (I64, sum(m[CM_RAW][1] for m in metas)),
+            for pages in chunk.pages:
+                self._put(pages)
+            meta = chunk.kind | {
+                CM_ENCODINGS: (LIST, (I32, sorted(chunk.encodings))),
+                CM_VALUES: (I64, chunk.values),
+                CM_RAW: (I64, chunk.raw),
                 CM_SIZE: (I64, self.at - begin),
                 CM_DATA: (I64, begin),
             }
-            if stats := _merged_stats(metas, self.orders[i]):
+            if (stats := chunk._shrink()) is not None:
                 meta[CM_STATS] = (STRUCT, stats)
             columns.append({CC_OFFSET: (I64, begin), CC_META: (STRUCT, meta)})
-        self._seal(columns, sum(g[RG_ROWS][1] for g, _ in self.open), sum(g[RG_BYTES][1] for g, _ in self.open), start)
-        self.open, self.open_bytes = [], 0
+        self._seal(columns, self.open_rows, self.open_raw, start)
+        self.open, self.open_codecs = [], ()
+        self.open_bytes = self.open_rows = self.open_raw = 0
 
     def close(self) -> int:
         """Write the footer; bytes of the file."""

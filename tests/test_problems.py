@@ -120,13 +120,29 @@ def test_consolidate_keeps_every_row_once(spark, tmp_path, monkeypatch):
     rows = write_files(folder, 60, use_dictionary=False)
     pq.write_table(pa.table({"other": [1, 2]}), folder / "other.parquet")
     files = smallfiles.list_files(spark, f"file://{folder}")
-    monkeypatch.setattr(smallfiles, "FAN_IN", 25)  # several intermediate files
-    report = smallfiles.consolidate(files.unionByName(files), f"file://{tmp_path}/large").collect()
-    assert len(report) == 2 and sum(r["rows"] for r in report) == len(rows) + 2
+    monkeypatch.setattr(smallfiles, "FAN_IN", 7)  # three levels
+    report = smallfiles.consolidate(files.unionByName(files), f"file://{tmp_path}/large", trail=f"file://{tmp_path}/trail").collect()
+    assert len(report) == 2 and sum(r["rows"] for r in report) == len(rows) + 2 and sorted(r["files"] for r in report) == [1, 60]
     big = max(report, key=lambda r: r["rows"])
     back = pq.read_table(big["path"].removeprefix("file://")).to_pylist()
     assert sorted(map(str, back)) == sorted(map(str, rows))
     assert [f for f in os.listdir(tmp_path / "large") if f.endswith(".tmp")] == []
+    trail = spark.read.parquet(f"file://{tmp_path}/trail").collect()
+    assert sorted(r["path"] for r in trail) == sorted(r["path"] for r in files.collect())
+    assert {r["output"] for r in trail} == {r["path"] for r in report}
+
+
+def test_bins_follow_sizes(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    for i in range(40):
+        pq.write_table(pa.table({"x": list(range(400 if i % 4 else 4000)), "n": [i] * (400 if i % 4 else 4000)}), folder / f"{i:02d}.parquet", use_dictionary=False, compression="none")
+    files = smallfiles.list_files(spark, f"file://{folder}")
+    total = files.agg(F.sum("size")).first()[0]
+    report = smallfiles.consolidate(files, f"file://{tmp_path}/large", target_bytes=total // 5, group_bytes=20_000).collect()
+    assert 5 <= len(report) <= 7 and max(r["bytes"] for r in report) < 1.6 * total / 5
+    got = pq.read_table(tmp_path / "large")
+    assert got.num_rows == 30 * 400 + 10 * 4000 and set(got["n"].to_pylist()) == set(range(40))
 
 
 TABLES = "store_id long, sst_id long, base_path string"
