@@ -41,13 +41,41 @@ def p2_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records added or changed since each store's last successful run, processed through the ledger."""
-    items = parallelism(spark)
     base = workspace(spark, "ledger")
-    work = ledger.changed_since(table(spark, sf_dir, "kv_log"), table(spark, sf_dir, "wal_index"), items)
-    return ledger.process(ledger.Ledger(spark, f"{base}/items"), work, f"{base}/out", items, {"log": f"{sf_dir}/kv_log.parquet"})
-
-
-QUERIES = {f.__name__: f for f in (p1_found, p1_layout, p2_found, p2_state, p5_found)}
+    return ledger.process(ledger.Ledger(spark, f"{base}/items"), table(spark, sf_dir, "kv_log"), table(spark, sf_dir, "wal_index"), f"{base}/out", parallelism(spark))
+
+
+def p5_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records after failures: one worker dies between writing and committing, one while
+    writing, one wakes up after its lease has expired and writes other rows; a last one finishes."""
+    base, now = workspace(spark, "ledger"), [0.0]
+    book = ledger.Ledger(spark, f"{base}/items", clock=lambda: now[0])
+    log, runs, out, items = table(spark, sf_dir, "kv_log"), table(spark, sf_dir, "wal_index"), f"{base}/out", parallelism(spark)
+    plan = ledger.plan_run(book, log, runs, items)
+    planned = spark.read.parquet(plan["covers"]["work"])
+
+    def write(leases: dict, rows: DataFrame) -> None:
+        for item, token in leases.items():
+            rows.where(F.col(ledger.ITEM) == item).drop(ledger.ITEM).write.mode("overwrite").parquet(f"{out}/{ledger.ITEM}={item}/__token={token}")
+
+    dead = book.lease("dies before the commit", 10, 1)
+    write(dead, planned)
+    book.lease("dies while writing", 10, 1)
+    slow = book.lease("sleeps", 10, 1)
+    now[0] = 20.0  # all leases have expired
+    result = ledger.process(book, log, runs, out, items, worker="last", lease_s=1e9, most=max(1, items // 3))
+    write(slow, planned.withColumn("seq", -F.col("seq")))
+    for leases in (dead, slow):
+        for item, token in leases.items():
+            try:
+                book.commit(item, token)
+            except ledger.StaleLease:
+                continue
+            raise RuntimeError("a stale worker could commit")
+    return ledger.results(book, result)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_layout, p2_found, p2_state, p5_found, p5_resumed)}
 
 _LISTED = r"""
 with names as (select distinct store_id, regexp_extract(trim(directory_name), '([^/]+?)(?:/+\.?)*$', 1) as name from lsm_levels where directory_name is not null),
@@ -73,3 +101,4 @@ SQL = {
         select l.store_id, l.seq from kv_log l left join done d on l.store_id = d.store_id where l.key is not null
         group by l.store_id, l.seq, d.at having min(l.wal_pos) >= coalesce(d.at, 0)""",
 }
+SQL["p5_resumed"] = SQL["p5_found"]

@@ -217,25 +217,85 @@ def test_leases_expire_and_tokens_fence(spark, tmp_path):
     assert book.done() == [0]
 
 
+LOG = "store_id long, wal_pos long, key binary, seq long"
+RUNS = "store_id long, run_no int, status string, current_value long"
+
+
+def log_of(spark, n, start=0):
+    return spark.createDataFrame([(i % 3, 10 * i, b"k", i) for i in range(start, n)], LOG)
+
+
+def pairs(df):
+    return sorted((r["store_id"], r["seq"]) for r in df.collect())
+
+
 def test_process_resumes_after_a_failure(spark, tmp_path):
     now = [0.0]
     book = ledger.Ledger(spark, f"file://{tmp_path}/ledger", clock=lambda: now[0])
-    work = spark.range(100).withColumn("__item", (F.col("id") % 4).cast("int"))
-    book.plan(4, {})
+    log, runs, out = log_of(spark, 100), spark.createDataFrame([], RUNS), f"file://{tmp_path}/out"
+    ledger.plan_run(book, log, runs, 4)
+    assert len(book.lease("died", 10, 2)) == 2
+    with pytest.raises(RuntimeError):
+        ledger.process(book, log, runs, out, 4, most=1)
+    now[0] = 20
+    want = [(i % 3, i) for i in range(100)]
+    for _ in range(2):
+        assert pairs(ledger.process(book, log, runs, out, 4)) == sorted(want)
+
+
+def test_a_log_that_grows_between_attempts_loses_and_repeats_nothing(spark, tmp_path):
+    now = [0.0]
+    runs = spark.createDataFrame([(0, 1, "ok", 60)], RUNS)
+    book = ledger.Ledger(spark, f"file://{tmp_path}/first", clock=lambda: now[0])
+    ledger.plan_run(book, log_of(spark, 100), runs, 4)
+    out = f"file://{tmp_path}/out-1"
     died = book.lease("died", 10, 2)
-    assert len(died) == 2
     with pytest.raises(RuntimeError):
-        ledger.process(book, work, f"{tmp_path}/out", 4, {})
+        ledger.process(book, log_of(spark, 100), runs, out, 4)  # two items are done, two wait
+    grown = log_of(spark, 200).unionByName(spark.createDataFrame([(7, 5, b"new store", 1), (0, 30, b"again", 99)], LOG))
     now[0] = 20
-    got = ledger.process(book, work, f"{tmp_path}/out", 4, {})
-    again = ledger.process(book, work, f"{tmp_path}/out", 4, {})
-    for x in (got, again):
-        assert sorted(r["id"] for r in x.collect()) == list(range(100))
+    first = pairs(ledger.process(book, grown, runs, out, 4))
+    assert first == sorted((i % 3, i) for i in range(100) if i % 3 or 10 * i >= 60) and len(died) == 2
+    after = ledger.successor(book).selectExpr("store_id", "2 as run_no", "'ok' as status", "current_value")
+    again = ledger.Ledger(spark, f"file://{tmp_path}/second")
+    second = pairs(ledger.process(again, grown, runs.unionByName(after), f"file://{tmp_path}/out-2", 4))
+    assert second == sorted([(i % 3, i) for i in range(100, 200)] + [(7, 1)])
+    third = ledger.Ledger(spark, f"file://{tmp_path}/third")
+    last = runs.unionByName(after).unionByName(ledger.successor(again).selectExpr("store_id", "3 as run_no", "'ok' as status", "current_value"))
+    assert pairs(ledger.process(third, grown, last, f"file://{tmp_path}/out-3", 4)) == []
+
+
+def test_stale_writers_change_nothing(spark, tmp_path):
+    now = [0.0]
+    book = ledger.Ledger(spark, f"file://{tmp_path}/ledger", clock=lambda: now[0])
+    log, runs, out = log_of(spark, 200), spark.createDataFrame([], RUNS), f"file://{tmp_path}/out"
+    plan = ledger.plan_run(book, log, runs, 1)
+    old = book.lease("slow", 10, 1)
+    now[0] = 11
+    done = ledger.process(book, log, runs, out, 1)
+    spark.read.parquet(plan["covers"]["work"]).limit(50).drop("__item").write.mode("overwrite").parquet(f"{out}/__item=0/__token={old[0]}")
+    with pytest.raises(ledger.StaleLease):
+        book.commit(0, old[0])
+    assert len(pairs(done)) == len(pairs(ledger.results(book, done))) == 200
+
+
+def test_leases_are_renewed(spark, tmp_path):
+    now = [0.0]
+    book = ledger.Ledger(spark, f"file://{tmp_path}/ledger", clock=lambda: now[0])
+    book.plan(1, {})
+    (token,) = book.lease("a", 10, 1).values()
+    now[0] = 8
+    assert book.renew(0, token, 10, 1)
+    now[0] = 15
+    assert book.lease("b", 10, 1) == {} and book.states()[0] == ("leased", token)
+    now[0] = 19
+    assert book.lease("b", 10, 1) == {0: token + 1}
+    assert not book.renew(0, token, 10, 2)
 
 
 def test_changed_since_against_model(spark):
     log = [(1, 10, b"a", 1), (1, 20, b"a", 1), (1, 30, b"b", 2), (1, 40, None, 3), (1, 50, b"c", 3), (2, 5, b"a", 1), (2, 6, b"", 9), (1, None, b"z", 8), (3, 1, b"q", 1)]
     runs = [(1, 1, "ok", 15), (1, 2, " OK ", 30), (1, 2, "ok", 30), (1, 3, "failed", 99), (1, 4, None, 99), (2, 1, "failed", 99), (3, 1, "ok", 100), (3, 2, "Ok", None)]
-    got = ledger.changed_since(spark.createDataFrame(log, "store_id long, wal_pos long, key binary, seq long"), spark.createDataFrame(runs, "store_id long, run_no int, status string, current_value long"), 3)
+    got = ledger.changed_since(spark.createDataFrame(log, LOG), spark.createDataFrame(runs, RUNS), 3)
     assert sorted((r["store_id"], r["seq"]) for r in got.collect()) == [(1, 2), (1, 3), (1, 8), (2, 1), (2, 9), (3, 1)]
     assert {r["__item"] for r in got.collect()} <= {0, 1, 2}
