@@ -152,6 +152,30 @@ def test_tags_of_any_length_are_no_words():
         assert len(leaks.words(prose)) > 4
 
 
+@pytest.mark.parametrize("size", [290, 310, 1990, 2100, 100_000])
+def test_markup_of_any_length_hides_no_passage(spark, size):
+    w = passage(ITEM_A, 21).split()
+    docs = [(n, " ".join([*w[:10], middle, *w[10:]]), "", "") for n, middle in enumerate(("<div " + "x" * size + ">", "<!-- " + "x y " * (size // 4) + "-->", "<i\n" + "a b\n" * (size // 4) + ">"))]
+    docs.append((3, "if a <b then " + ITEM_B + " " + "c " * size + "> d", "", ""))  # no tag: the passage stands between two signs
+    docs.append((4, "<!-- <p " * 2000 + ITEM_B + " <!-- " * 2000, "", ""))
+    i = spark.createDataFrame([(10, ITEM_A), (11, ITEM_B)], "item_id int, text string")
+    assert {tuple(r) for r in leaks.leaked(spark.createDataFrame(docs, TEXTS), i).collect()} == {(0, 10), (1, 10), (2, 10), (3, 11), (4, 11)}
+
+
+def test_items_in_blocks_and_passes(spark, monkeypatch):
+    items = [(n, item(n)) for n in range(20, 50)]
+    docs = [(n, f"x {replaced(t, 8)} y {items[(n + 1) % 30][1]}", "", "") for n, t in items]
+    d, i = spark.createDataFrame(docs, TEXTS), spark.createDataFrame(items, "item_id int, text string")
+    want = sorted(map(tuple, leaks.leaked(d, i).collect()))
+    spans = sorted(map(tuple, leaks.removal_spans(d, i).collect()))
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", 2500)
+    assert sorted(map(tuple, leaks.leaked(d, i).collect())) == want and len(want) == 60
+    monkeypatch.setattr(leaks, "MOST_WORDS", 300)
+    assert len(leaks._passes(i, "item_id", "text")) > 3
+    assert sorted(map(tuple, leaks.leaked(d, i).collect())) == want
+    assert sorted((a, b, c) for a, b, c, _ in map(tuple, leaks.removal_spans(d, i).collect())) == [s[:3] for s in spans]
+
+
 def test_common_length():
     r = random.Random(1)
     for _ in range(50):
