@@ -5,7 +5,9 @@ fingerprint must equal the XOR of the solution words at start + i over the set
 bits i. The keys of a sealed batch are spread over blocks of equal height. All
 blocks are eliminated together in rounds (any order of insertions gives a
 solution of the same system) and solved together by back substitution, so the
-work is in numpy whatever the number of keys.
+work is in numpy whatever the number of keys. The solution is kept bit by bit
+(plane j holds bit j of every row), so a probe takes the window of 64 rows of one
+plane, and most absent keys are told apart after a few planes.
 
 A key of the batch is always found. An absent key is found with probability
 2**-bits; memory is ``bits`` times about 1.1 to 1.2 per key.
@@ -83,7 +85,10 @@ class Ribbon:
         for i in range(self.rows - 1, -1, -1):
             on = (coeff[:, i, None] >> shifts & _ONE).astype(np.uint32)
             out[:, i] = right[:, i] ^ np.bitwise_xor.reduce(out[:, i + 1 : i + WIDTH] * on, axis=1)
-        self.solution = np.ascontiguousarray(out[:, : self.rows]).reshape(-1)
+        solution = np.ascontiguousarray(out[:, : self.rows]).reshape(-1)
+        self.planes = np.zeros((self.bits, size // 64 + 2), np.uint64)
+        packed = np.packbits((solution[None, :] >> np.arange(self.bits, dtype=np.uint32)[:, None] & np.uint32(1)).astype(np.uint8), axis=1, bitorder="little")
+        self.planes.view(np.uint8)[:, : packed.shape[1]] = packed
         return True
 
     def contains(self, hashes: np.ndarray) -> np.ndarray:
@@ -93,13 +98,16 @@ class Ribbon:
             return found
         for i in range(0, len(h), 1 << 16):
             at, c, r = self._equation(h[i : i + (1 << 16)])
-            for j in range(WIDTH):
-                on = (c >> np.uint64(j) & _ONE).astype(bool)
-                r[on] ^= self.solution[at[on] + j]
-            found[i : i + (1 << 16)] = r == 0
+            alive, word, shift = np.arange(i, i + len(at)), at >> 6, (at & 63).astype(np.uint64)
+            for j in range(self.bits):
+                window = self.planes[j, word] >> shift | self.planes[j, word + 1] << _ONE << (np.uint64(63) - shift)
+                same = (np.bitwise_count(window & c) & 1).astype(bool) == (r >> np.uint32(j) & np.uint32(1)).astype(bool)
+                if not same.all():
+                    alive, word, shift, c, r = alive[same], word[same], shift[same], c[same], r[same]
+            found[alive] = True
         return found
 
     @property
     def nbytes(self) -> int:
-        """Bytes that the solution takes when packed to ``bits`` bits a row."""
-        return (len(self.solution) * self.bits + 7) // 8
+        """Bytes that the solution takes in memory."""
+        return self.planes.nbytes
