@@ -12,11 +12,14 @@ distinct values there are.
 
 Decoding peels: the count of each candidate found is taken out of all its
 groups and the rest is decoded again. Candidates are then counted exactly in a
-second pass over the table, by value. Afterwards the counters are checked once
-more with the exact counts taken out: a value that is frequent but was not
-found would have to leave a group with all 15 positions at or above the
+second pass over the table, by value, and written. Afterwards the counters are
+checked once more with the exact counts taken out: a value that is frequent but
+was not found would have to leave a group with all 15 positions at or above the
 threshold in *every* repetition; any fingerprint that such groups still spell
-is counted too, and ``NotIdentified`` is raised if candidates could remain.
+is counted too. If candidates could remain, everything is repeated with four
+times as many groups; above ``MOST_GROUPS`` the values are taken in slices by
+another hash, a pass for each, so the counters of a task stay bounded however
+small the share.
 
 Defined results: null is no value; the empty value is one; ties and the order
 of rows do not matter; an empty table has no frequent values. The approximate
@@ -35,17 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runefold.llm.ribbon import mix
-from runefold.shared import parallelism
+from runefold.shared import parallelism, workspace, written
 
 DATA, PARITY, ALPHABET = 11, 4, 16
 LENGTH = DATA + PARITY
 CELLS = LENGTH * ALPHABET
 #: Rows of counters per shuffled block.
 BLOCK = 64
-
-
-class NotIdentified(RuntimeError):
-    """The counters leave room for a frequent value that was not found; use more groups or repetitions."""
+#: Groups of a pass at most: 15.7 MB of counters for each repetition.
+MOST_GROUPS = 1 << 13
 
 
 @functools.cache
@@ -221,35 +222,52 @@ def unresolved(counters: np.ndarray, threshold: float) -> bool:
     return bool(((view >= threshold).all(axis=2)).any(axis=1).all())
 
 
-def heavy_hitters(values: DataFrame, column: str, share: float, groups: int = 1024, repetitions: int = 4) -> DataFrame:
-    """``column, n_rows, approx_rows`` of every value with at least ``share`` of the non-null rows."""
-    given, column = column, "__value"
-    values = values.select(F.col(given).alias(column))  # a name that the result's columns can't clash with
+def _identified(values: DataFrame, column: str, threshold: float | None, share: float, groups: int, repetitions: int, at: str) -> tuple[DataFrame | None, float, dict[int, int]] | None:
+    """``(candidates with exact counts, threshold, upper bounds)``, or None if a frequent value may have been missed."""
     whole = counters_of(values, column, groups, repetitions)
-    total = int(whole[0, :, :ALPHABET].sum())
-    threshold = max(1.0, share * total)
-    candidates = identify(whole.copy(), threshold)
+    if threshold is None:
+        threshold = max(1.0, share * int(whole[0, :, :ALPHABET].sum()))
     low = F.xxhash64(column).bitwiseAND(F.lit((1 << 4 * DATA) - 1))
+    candidates, rest, counted = identify(whole.copy(), threshold), whole.copy(), None
+    new = candidates
+    while new:
+        # Candidates are bounded by the counters, not by the table; those counted before are not counted again.
+        exact = values.where(F.col(column).isNotNull() & low.isin([int(f) for f in new])).groupBy(column).agg(F.count("*").alias("n_rows"))
+        part = written(exact.withColumn("f", low), f"{at}-{len(candidates)}")
+        counted = part if counted is None else counted.unionByName(part)
+        for r in part.groupBy("f").agg(F.sum("n_rows").alias("n")).collect():
+            _take(rest, r["f"], r["n"])
+        new = {f: n for f, n in identify(rest.copy(), threshold).items() if f not in candidates}
+        candidates = candidates | new
+    if unresolved(rest, threshold):
+        return None
+    return counted, threshold, {f: _least(whole, f) for f in candidates}
 
-    def exact(fs) -> DataFrame:
-        # At most 1 / share values can be frequent; candidates are bounded by the counters, not by the table.
-        return values.where(F.col(column).isNotNull() & low.isin([int(f) for f in fs])).groupBy(column).agg(F.count("*").alias("n_rows"))
-
-    while candidates:
-        counted = exact(candidates).withColumn("f", low)
-        by_print = {r["f"]: r["n"] for r in counted.groupBy("f").agg(F.sum("n_rows").alias("n")).collect()}
-        rest = whole.copy()
-        for f, n in by_print.items():
-            _take(rest, f, n)
-        more = {f: n for f, n in identify(rest.copy(), threshold).items() if f not in candidates}
-        if not more:
-            if unresolved(rest, threshold):
-                raise NotIdentified(f"{groups} groups and {repetitions} repetitions do not separate the frequent values")
+
+def heavy_hitters(values: DataFrame, column: str, share: float, groups: int = 1024, repetitions: int = 4) -> DataFrame:
+    """``column, n_rows, approx_rows`` of every value with at least ``share`` of the non-null rows."""
+    spark, given, column = values.sparkSession, column, "__value"
+    values = values.select(F.col(given).alias(column))  # a name that the result's columns can't clash with
+    at, slices, total, start = workspace(spark, "heavy"), 1, None, groups
+    empty = spark.createDataFrame([], values.select(column, F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("approx_rows")).schema)
+    while True:
+        found = []
+        for k in range(slices):
+            mine = values if slices == 1 else values.where(F.pmod(F.xxhash64(F.lit(slices), column), F.lit(slices)) == k)
+            threshold = None
+            if slices > 1:
+                total = total if total is not None else values.where(F.col(column).isNotNull()).count()
+                threshold = max(1.0, share * total)
+            part = _identified(mine, column, threshold, share, groups, repetitions, f"{at}/{groups}-{slices}-{k}")
+            if part is None:
+                break
+            found.append(part)
+        else:
             break
-        candidates |= more
-    else:
-        if total and unresolved(whole, threshold):
-            raise NotIdentified(f"{groups} groups and {repetitions} repetitions do not separate the frequent values")
-        return values.sparkSession.createDataFrame([], values.select(F.col(column).alias(given), F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("approx_rows")).schema)
-    estimates = F.create_map(*[F.lit(int(x)).cast("long") for f in candidates for x in (f, _least(whole, f))])
-    return counted.where(F.col("n_rows") >= threshold).select(F.col(column).alias(given), "n_rows", estimates[F.col("f")].alias("approx_rows"))
+        groups, slices = (min(4 * groups, max(MOST_GROUPS, start)), slices) if groups < MOST_GROUPS else (groups, 4 * slices)
+    out = empty
+    for counted, threshold, bounds in found:
+        if counted is not None:
+            estimates = F.create_map(*[F.lit(int(x)).cast("long") for f, n in bounds.items() for x in (f, n)])
+            out = out.unionByName(counted.where(F.col("n_rows") >= threshold).select(column, "n_rows", estimates[F.col("f")].alias("approx_rows")))
+    return out.withColumnRenamed(column, given)

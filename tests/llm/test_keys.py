@@ -63,13 +63,21 @@ def test_seen_before_on_empty_tables(spark):
 
 def test_audit_counts_wrong_answers(spark):
     log = spark.range(20000).select(F.lit(1).cast("long").alias("store_id"), F.col("id").cast("string").cast("binary").alias("key"), F.col("id").alias("ts"))
-    a = seen.audit(log, spark.createDataFrame([], ENTRIES), probes=20000, batch_keys=512, bits=8).first()
+    a = seen.audit(log, spark.createDataFrame([], ENTRIES), probes=80000, batch_keys=512, bits=8).first()
     assert a["keys"] > 19000 and a["generations"] >= 4 and a["probes"] == 80000
     expected = a["generations"] / 4 / 256
     assert 0.3 * expected < a["wrong_rate"] < 2 * expected
     assert seen.audit(log, spark.createDataFrame([], ENTRIES), probes=5000, batch_keys=512).first()["wrong"] == 0
 
 
+def test_small_tables_are_sealed_too(spark):
+    log, entries = fixture(1500, 5)
+    log, entries = spark.createDataFrame(log, LOG), spark.createDataFrame(entries, ENTRIES)
+    a = seen.audit(log, entries, probes=3000).first()
+    assert a["generations"] >= 6 and a["probes"] == 3000 and a["wrong_rate"] == 0 and a["open_bytes"] < 8 * a["keys"]
+    assert seen.audit(log.limit(0), entries.limit(0), probes=10).first()["wrong_rate"] is None
+
+
 def test_code_corrects_two_symbols():
     r = random.Random(1)
     for _ in range(200):
@@ -97,6 +105,18 @@ def test_heavy_hitters_match_exact_counts(spark, share, groups):
     assert all(x["approx_rows"] >= x["n_rows"] for x in got)
 
 
+@pytest.mark.parametrize("share", [0.002, 0.0001])
+def test_groups_grow_until_all_frequent_values_are_told_apart(spark, monkeypatch, share):
+    monkeypatch.setattr(heavy, "MOST_GROUPS", 256)  # then slices
+    r = random.Random(8)
+    values = [f"v{i}" for i in range(500) for _ in range(r.randrange(15, 40))] + [f"rare{i}" for i in range(3000)]
+    r.shuffle(values)
+    counts = Counter(values)
+    got = heavy.heavy_hitters(spark.createDataFrame([(v,) for v in values], "v string"), "v", share, groups=64, repetitions=2).collect()
+    assert {x["v"]: x["n_rows"] for x in got} == {k: n for k, n in counts.items() if n >= share * len(values)} and len(got) > 50
+    assert all(x["approx_rows"] >= x["n_rows"] for x in got)
+
+
 def test_heavy_hitters_of_nothing_and_of_one(spark):
     assert heavy.heavy_hitters(spark.createDataFrame([], "k string"), "k", 0.1).count() == 0
     assert heavy.heavy_hitters(spark.createDataFrame([(None,)], "k string"), "k", 0.1).count() == 0
