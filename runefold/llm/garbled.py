@@ -17,7 +17,8 @@ In a line, the stretch of words with the greatest sum of evidence for a chain is
 a passage if that sum reaches ``EVIDENCE``. For a lossless chain the passage
 must then invert: encode strictly in the wrong encoding, decode strictly in the
 true one, and give credible text (``credible``), or be long enough to be beyond
-chance (``strict``); else the next best chain is tried. Chains that
+chance (``strict``); else the next best chain is tried. Words within that do not
+invert split the passage; those with evidence for the chain count as lost. Chains that
 lose bytes need no inversion and are reported as not restorable.
 
 Characters quoted on purpose are no case: inside backticks, or, in a document
@@ -43,8 +44,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runefold.shared import spread
-
 #: Documents the classifier is fitted on, about; the only use of a sample.
 SAMPLE_DOCUMENTS = 4000
 BUCKETS = 1 << 15
@@ -368,64 +367,114 @@ class Classifier:
         return found
 
     def _in_line(self, line: str, places: list, rows: np.ndarray) -> list:
-        out, free = [], np.ones(len(places), bool)
-        while True:
-            best, proof = [], []
-            gain = np.where(free[:, None], rows, -np.inf)
-            run = np.zeros(rows.shape[1])
-            begin = np.zeros(rows.shape[1], int)
-            top, span = np.zeros(rows.shape[1]), np.zeros((rows.shape[1], 2), int)
-            for i in range(len(places)):
-                new = run <= 0
-                begin = np.where(new, i, begin)
-                run = np.where(new, 0, run) + gain[i]
-                if i and places[i][0] - places[i - 1][1] > GAP:
-                    begin, run = np.full_like(begin, i), gain[i].copy()
-                run = np.where(np.isfinite(run), run, 0)
-                better = run > top
-                top = np.where(better, run, top)
-                span[better] = np.stack([begin, np.full_like(begin, i)], axis=1)[better]
-            for c in np.argsort(-top):
-                if top[c] < EVIDENCE:
-                    break
-                i, j = span[c]
-                a, b = places[i][0], places[j][1]
-                chain, back = CHAINS[c], None
-                if chain.loss:
-                    if proof:
-                        break
-                    if not chain.possible(line[a:b]):
-                        continue
-                else:
-                    back = restore(line, places[i : j + 1], chain)
-                    if back is None:
-                        continue
-                    if not self.credible(chain, back, line[a:b]):
-                        if not proof and self.strict(chain, back, line[a:b]):
-                            proof = (i, j, (a, b, chain, back))  # unless another chain gives usual text
-                        continue
-                best = (i, j, (a, b, chain, back))
+        """Passages of a line, best first in each stretch; what is left beside one is searched again."""
+        out, open_ = [], _stretches(places, rows, 0, len(places))
+        while open_:
+            low, high = open_.pop()
+            best = self._best(line, places, rows, low, high)
+            if best is None:
+                continue
+            i, j, pieces = best
+            out += pieces
+            for x, y in ((low, i), (j + 1, high)):
+                if x < y:
+                    open_ += _stretches(places, rows, x, y)
+        return out
+
+    def _best(self, line: str, places: list, rows: np.ndarray, low: int, high: int) -> tuple | None:
+        """``(first word, last word, pieces)`` of the passage with most evidence that holds; None if there is none."""
+        n_chains = rows.shape[1]
+        run, begin = np.zeros(n_chains), np.full(n_chains, low)
+        top, span = np.zeros(n_chains), np.zeros((n_chains, 2), int)
+        for i in range(low, high):
+            new = run <= 0
+            if i > low and places[i][0] - places[i - 1][1] > GAP:
+                new[:] = True
+            begin[new] = i
+            run = np.where(new, 0, run) + rows[i]
+            better = run > top
+            top[better] = run[better]
+            span[better, 0], span[better, 1] = begin[better], i
+        proof = None
+        for c in np.argsort(-top):
+            if top[c] < EVIDENCE:
                 break
-            best = best or proof
-            if not best:
-                return out
-            out.append(best[2])
-            free[best[0] : best[1] + 1] = False
-
-
-def restore(line: str, places: list, chain: Chain) -> str | None:
-    """The passage with every word inverted that inverts strictly; None if none does."""
-    a, b = places[0][0], places[-1][1]
-    whole = chain.invert(line[a:b])
-    if whole is not None and whole != line[a:b]:
-        return whole
-    out, at, changed = [], a, False
-    for i, j in places:
-        back = chain.invert(line[i:j])
-        out += [line[at:i], line[i:j] if back is None else back]
-        changed |= back is not None and back != line[i:j]
-        at = j
-    return "".join(out) if changed else None
+            i, j = (int(x) for x in span[c])
+            a, b = places[i][0], places[j][1]
+            chain = CHAINS[c]
+            if chain.loss:
+                if proof:
+                    break
+                if not chain.possible(line[a:b]):
+                    continue
+                return i, j, [(a, b, chain, None)]
+            pieces = restore(line, places[i : j + 1], chain, rows[i : j + 1, c])
+            if pieces is None:
+                continue
+            back = "".join(line[x:y] if new is None else new for x, y, new in _filled(pieces, a, b))
+            found = i, j, [(x, y, chain, new) for x, y, new in pieces]
+            if self.credible(chain, back, line[a:b]):
+                return found
+            if not proof and self.strict(chain, back, line[a:b]):
+                proof = found  # unless another chain gives usual text
+        return proof
+
+
+def _stretches(places: list, rows: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
+    """Stretches of words that no passage leaves: behind their last word the evidence of every chain is used up, or a gap follows."""
+    out, run, start = [], np.zeros(rows.shape[1]), None
+    for i in range(low, high):
+        if start is not None and places[i][0] - places[i - 1][1] > GAP:
+            out.append((start, i))
+            start, run = None, np.zeros(rows.shape[1])
+        run = np.maximum(run, 0) + rows[i]
+        if (run > 0).any():
+            start = i if start is None else start
+        elif start is not None:
+            out.append((start, i))
+            start = None
+    if start is not None:
+        out.append((start, high))
+    return out
+
+
+def _filled(pieces: list, a: int, b: int):
+    """The pieces of a passage with the unchanged text between them."""
+    for x, y, new in pieces:
+        if a < x:
+            yield a, x, None
+        yield x, y, new
+        a = y
+    if a < b:
+        yield a, b, None
+
+
+def restore(line: str, places: list, chain: Chain, evidence: np.ndarray | None = None) -> list[tuple[int, int, str | None]] | None:
+    """``(start, stop, original)`` of each piece of a passage; None if no word inverts strictly to another.
+
+    A piece is a run of words that invert strictly, checked as a whole. A word
+    that does not is left as it is; with evidence for the chain it is a lost
+    piece (original None), else it belongs to no piece.
+    """
+    inverted = [chain.invert(line[i:j]) for i, j in places]
+    if not any(new is not None and new != line[i:j] for (i, j), new in zip(places, inverted)):
+        return None
+    out, k = [], 0
+    while k < len(places):
+        if inverted[k] is None:
+            if evidence is not None and evidence[k] > 0:
+                out.append((*places[k], None))
+            k += 1
+            continue
+        m = k
+        while m + 1 < len(places) and inverted[m + 1] is not None:
+            m += 1
+        while (whole := chain.invert(line[places[k][0] : places[m][1]])) is None:
+            m -= 1  # the blanks between do not invert: a shorter run
+        if whole != line[places[k][0] : places[m][1]]:
+            out.append((places[k][0], places[m][1], whole))
+        k = m + 1
+    return out
 
 
 def _in_backticks(line: str, a: int, b: int) -> bool:
@@ -530,4 +579,4 @@ def garbled(documents: DataFrame, model: Classifier, id_column: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([ids], [id_column])
 
     form = f"`{id_column}` {kind}" + ", chains array<string>, n_passages int, n_lost int, text string" * restored
-    return spread(documents.select(id_column, text_column)).mapInArrow(run, form)
+    return documents.select(id_column, text_column).mapInArrow(run, form)

@@ -1,6 +1,7 @@
 """Token ids, leaks and garbled text: against the plain encoder, brute force, and held-out garbling."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -219,6 +220,30 @@ HELD_OUT = [
 ]
 
 
+@pytest.mark.parametrize("between", [" plain words that nobody has garbled stand here, in a row of more than eighty letters, ", " größere Flüsse über schöne Mühlen größere Flüsse über schöne Mühlen "])
+def test_many_passages_in_a_line_take_linear_time(model, between):
+    one = garbled.Chain("utf-8", "cp1252").garble("voilà entraîné")
+    took = []
+    for n in (100, 400):
+        text = between.join([one] * n)
+        model.passages(text[: len(one) + len(between)])
+        began = time.process_time()
+        found = model.passages(text)
+        took.append(time.process_time() - began)
+        assert len(found) == n
+    assert took[1] < 8 * took[0] + 0.2 and took[1] < 2
+
+
+def test_words_that_do_not_invert_split_a_passage(model):
+    bad = garbled.Chain("utf-8", "cp1252").garble("voilà entraîné")
+    text = f"{bad} Ω☃Ж {bad}"
+    found = model.passages(text)
+    assert "".join(text[a:b] for a, b, _, back in found if back) == bad * 2 and all("☃" not in text[a:b] for a, b, *_ in found)
+    pieces = garbled.restore(text, garbled.line_words(text), garbled.Chain("utf-8", "cp1252"), np.array([5.0, 5.0, 1.0, 5.0, 5.0]))
+    assert [back for *_, back in pieces] == ["voilà entraîné", None, "voilà entraîné"]
+    assert garbled.restore("Ω☃Ж", [(0, 3)], garbled.Chain("utf-8", "cp1252")) is None
+
+
 def test_held_out_chains_are_found_and_restored(model):
     tried = good = restored = 0
     for true, wrong, which in HELD_OUT:
