@@ -37,6 +37,48 @@ def test_shared_chunks_are_encoded_once(encoder):
     assert once > 10 and encoder.encoded - before < once + 8
 
 
+def test_chunks_of_several_partitions_are_encoded_once(spark, encoder, tmp_path):
+    r = random.Random(6)
+    words = ["alpha", "Beta", "naïve", "x1", "日本", "  ", "\n\n", "don't"]
+    body = [" ".join(r.choice(words) + str(r.randrange(50)) for _ in range(1500)) for _ in range(6)]
+    rows = [(n, f"start {n} " + r.choice(body) + f" middle {n} " + body[0], "", "") for n in range(40)]
+    docs = spark.createDataFrame(rows, TEXTS).repartition(5).persist()
+    with open(tokens.VOCABULARY, "rb") as f:
+        vocabulary = spark.sparkContext.broadcast(f.read())
+    folder = tokens.shared_chunks(docs, "text", vocabulary, f"file://{tmp_path}/chunks")
+    given, keys = spark.read.parquet(folder), spark.read.parquet(f"file://{tmp_path}/chunks/keys")
+    several = keys.groupBy("h").count().where("count > 1").count()
+    owned = spark.read.parquet(f"file://{tmp_path}/chunks/owned")
+    assert owned.count() == owned.select("h").distinct().count() == several > 20
+    assert given.select("h").distinct().count() > 0.9 * several and given.groupBy("h", "p").count().where("count > 1").count() == 0
+    got = {x["doc_id"]: x["ids"] for x in tokens.token_ids(docs).collect()}
+    assert got == {n: encoder.core.encode_ordinary(t) for n, t, *_ in rows}
+    encoder.given = tokens.Given(folder, 0)
+    encoder.young, encoder.old, encoder.received = {}, {}, 0
+    assert encoder.document(rows[0][1].encode(), tokens.cut_places(np.frombuffer(rows[0][1].encode(), np.uint8)).tolist()).tolist() == got[0]
+    assert encoder.received > 2
+    wrong = pa.array([b"\x01\x00\x00\x00"] * len(encoder.given.at), pa.binary())
+    encoder.given.codes, encoder.young, encoder.old = wrong, {}, {}  # ids of another chunk are not believed
+    assert encoder.document(rows[0][1].encode(), tokens.cut_places(np.frombuffer(rows[0][1].encode(), np.uint8)).tolist()).tolist() == got[0]
+    encoder.given = None
+    docs.unpersist()
+
+
+def test_joins_that_do_not_agree_are_encoded_anew(encoder, monkeypatch):
+    text = " ".join(f"word{i}" for i in range(2000))
+    cuts = tokens.cut_places(np.frombuffer(text.encode(), np.uint8)).tolist()
+    made = encoder.made
+
+    def spoiled(data):
+        c = made(data)
+        return c and c._replace(ids=np.concatenate([c.ids[:1] + 1, c.ids[1:]]))
+
+    monkeypatch.setattr(encoder, "made", spoiled)
+    encoder.young, encoder.old = {}, {}
+    assert encoder.document(text.encode(), cuts).tolist() == encoder.core.encode_ordinary(text)
+    encoder.young, encoder.old = {}, {}
+
+
 def test_very_long_runs_of_blanks(encoder):
     text = " " * 600_000 + "x"
     ids = tokens.encode_slice(encoder, pa.array([text]))[0]
