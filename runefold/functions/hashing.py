@@ -9,6 +9,7 @@ known value for 4 to 8 bytes; other lengths follow the published algorithm.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -121,7 +122,113 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+# The same for many values at once: one step for all values of a length.
+
+_WORDS = np.frombuffer(SECRET, "<u8")
+
+
+def _n(x: int) -> np.uint64:
+    return np.uint64(x & MASK)
+
+
+def _finish_many(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> _n(37)) * _n(P64_3)
+    return h ^ h >> _n(32)
+
+
+def _fold_many(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Low and high half of the 128-bit products, combined."""
+    half, low = _n(32), _n(0xFFFFFFFF)
+    al, ah, bl, bh = a & low, a >> half, b & low, b >> half
+    first, second = al * bh, ah * bl
+    carry = (al * bl >> half) + (first & low) + (second & low)
+    return a * b ^ ah * bh + (first >> half) + (second >> half) + (carry >> half)
+
+
+def _equal_length(data: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Hashes of the rows of a byte matrix."""
+    n = data.shape[1]
+
+    def u64(at: int, of: np.ndarray = data) -> np.ndarray:
+        return np.ascontiguousarray(of[:, at : at + 8]).view("<u8")[:, 0]
+
+    def u32(at: int) -> np.ndarray:
+        return np.ascontiguousarray(data[:, at : at + 4]).view("<u4")[:, 0].astype(np.uint64)
+
+    def mix16(at: int, secret_at: int) -> np.ndarray:
+        return _fold_many(u64(at) ^ seed + _n(_u64(SECRET, secret_at)), u64(at + 8) ^ _n(_u64(SECRET, secret_at + 8)) - seed)
+
+    if n == 0:
+        return np.zeros(len(data), np.uint64)
+    if n <= 3:
+        joined = data[:, 0].astype(np.uint64) | data[:, n >> 1].astype(np.uint64) << _n(8) | data[:, -1].astype(np.uint64) << _n(16) | _n(n << 24)
+        return _finish_many((joined ^ seed + _n(_u32(SECRET, 0))) * _n(P64_1))
+    if n <= 8:
+        keyed = (u32(0) | u32(n - 4) << _n(32)) ^ seed + _n(_u64(SECRET, 0))
+        mixed = _n(n) + (keyed ^ keyed >> _n(51)) * _n(P32_1)
+        return _finish_many((mixed ^ mixed >> _n(47)) * _n(P64_2))
+    if n <= 16:
+        low, high = u64(0) ^ seed + _n(_u64(SECRET, 0)), u64(n - 8) ^ _n(_u64(SECRET, 8)) - seed
+        return _finish_many(_n(n) + low + high + _fold_many(low, high))
+    total = np.full(len(data), _n(n * P64_1))
+    if n <= 128:
+        for i in range(-(-n // 32)):
+            total += mix16(16 * i, 32 * i) + mix16(n - 16 * (i + 1), 32 * i + 16)
+        return _finish_many(total)
+    if n <= 240:
+        for i in range(8):
+            total += mix16(16 * i, 16 * i)
+        total = _finish_many(total)
+        for i in range(8, n // 16):
+            total += mix16(16 * i, 16 * (i - 8) + 3)
+        return _finish_many(total + mix16(n - 16, 136 - 17))
+    words = np.where(np.arange(24) % 2 == 0, _WORDS + seed[:, None], _WORDS - seed[:, None])
+    secret = np.ascontiguousarray(words).view(np.uint8)
+    lanes = np.tile(np.array([P32_3, P64_1, P64_2, P64_3, P64_4, P32_2, P64_5, P32_1], np.uint64), (len(data), 1))
+    per_block, half, low = (192 - 64) // 8, _n(32), _n(0xFFFFFFFF)
+
+    def stripe(at: int, secret_at: int) -> None:
+        nonlocal lanes
+        value = np.ascontiguousarray(data[:, at : at + 64]).view("<u8")
+        key = value ^ np.ascontiguousarray(secret[:, secret_at : secret_at + 64]).view("<u8")
+        lanes = lanes + value + (key & low) * (key >> half)
+
+    whole = (n - 1) // (64 * per_block)
+    for block in range(whole):
+        for s in range(per_block):
+            stripe((block * per_block + s) * 64, 8 * s)
+        lanes = ((lanes ^ lanes >> _n(47)) ^ np.ascontiguousarray(secret[:, 128:192]).view("<u8")) * _n(P32_1)
+    start = whole * per_block * 64
+    for s in range((n - 1 - start) // 64 if n % 64 == 0 else (n - start) // 64):
+        stripe(start + 64 * s, 8 * s)
+    stripe(n - 64, 192 - 64 - 7)
+    for i in range(0, 8, 2):
+        total += _fold_many(lanes[:, i] ^ u64(11 + 8 * i, secret), lanes[:, i + 1] ^ u64(19 + 8 * i, secret))
+    return _finish_many(total)
+
+
+def xxh3_early_many(values: list[bytes], seeds: np.ndarray) -> np.ndarray:
+    """Unsigned hashes of many values, each with its seed."""
+    sizes, out = np.array([len(v) for v in values], np.int64), np.zeros(len(values), np.uint64)
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        for i in range(0, len(at), max(1, (8 << 20) // max(1, int(n)))):  # some MB at a time
+            part = at[i : i + max(1, (8 << 20) // max(1, int(n)))]
+            data = np.frombuffer(b"".join(values[k] for k in part), np.uint8).reshape(len(part), n)
+            out[part] = _equal_length(data, seeds[part].astype(np.uint64))
+    return out
+
+
 @F.pandas_udf(T.LongType())
 def xxh3_early_udf(values: pd.Series, seeds: pd.Series) -> pd.Series:
     """The hash as a signed BIGINT (same bits); null for null."""
-    return pd.Series([None if v is None else signed(xxh3_early(bytes(v), int(s) & MASK)) for v, s in zip(values, seeds)], dtype="Int64")
+    out = pd.Series([None] * len(values), dtype="Int64", index=values.index)
+    there = values.notna()
+    if there.any():
+        out[there] = xxh3_early_many([bytes(v) for v in values[there]], seeds[there].to_numpy(np.int64).view(np.uint64)).view(np.int64)
+    return out
+
+
+def xxh3_hash(value: Column, seed: Column) -> Column:
+    """``hasher`` of sketches whose byte forms must hold the bits of stored ones; all 64 bits, read as unsigned."""
+    return xxh3_early_udf(value.cast("binary"), seed.cast("bigint"))

@@ -6,6 +6,8 @@ strings; an odd node moves up unhashed. Empty and null data have no root.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,22 +68,57 @@ def _table() -> np.ndarray:
 _CRC = _table()
 
 
-def crc32c_many(values: list[bytes]) -> np.ndarray:
-    """CRC-32C of many values at once: byte j of all that are long enough in one step."""
-    sizes = np.array([len(v) for v in values], np.int64)
+#: Longer values are cut, and the checksums of the parts combined.
+PART = 4096
+
+
+def _steps(parts: list[bytes], start: np.ndarray) -> np.ndarray:
+    """State of the checksum after each part: byte j of all that are long enough in one step."""
+    sizes = np.array([len(v) for v in parts], np.int64)
     order = np.argsort(-sizes, kind="stable")
-    data = np.frombuffer(b"".join(values[i] for i in order) or b"\0", np.uint8)
-    start = np.concatenate([[0], np.cumsum(sizes[order])])[:-1] if len(values) else np.zeros(0, np.int64)
-    crc = np.full(len(values), 0xFFFFFFFF, np.uint32)
+    data = np.frombuffer(b"".join(parts[i] for i in order) or b"\0", np.uint8)
+    at = np.concatenate([[0], np.cumsum(sizes[order])])[:-1] if len(parts) else np.zeros(0, np.int64)
+    crc = start[order].copy()
     falling = -sizes[order]
     for j in range(int(sizes.max(initial=0))):
         n = int(np.searchsorted(falling, -j, side="left"))
-        crc[:n] = _CRC[(crc[:n] ^ data[start[:n] + j]) & 0xFF] ^ crc[:n] >> np.uint32(8)
-    out = np.empty(len(values), np.uint32)
-    out[order] = ~crc
+        crc[:n] = _CRC[(crc[:n] ^ data[at[:n] + j]) & 0xFF] ^ crc[:n] >> np.uint32(8)
+    out = np.empty(len(parts), np.uint32)
+    out[order] = crc
     return out
 
 
+@functools.cache
+def _behind_zeros() -> np.ndarray:
+    """[place of a state's byte, its value] -> what PART zero bytes make of it; the state is the sum of its bytes' parts."""
+    states = (np.arange(256, dtype=np.uint32)[None, :] << (8 * np.arange(4, dtype=np.uint32))[:, None]).reshape(-1)
+    for _ in range(PART):
+        states = _CRC[states & 0xFF] ^ states >> np.uint32(8)
+    return states.reshape(4, 256)
+
+
+def crc32c_many(values: list[bytes]) -> np.ndarray:
+    """CRC-32C of many values at once. A long value is its first bytes and parts of PART bytes; each part costs as much as a short value."""
+    parts, start, count = [], [], []
+    for v in values:
+        head = len(v) - (max(0, len(v) - 1) // PART) * PART
+        cuts = range(head, len(v), PART)
+        parts += [v[:head], *(v[i : i + PART] for i in cuts)]
+        start += [0xFFFFFFFF] + [0] * len(cuts)
+        count.append(1 + len(cuts))
+    states = _steps(parts, np.array(start, np.uint32))
+    if len(parts) == len(values):
+        return ~states
+    out, at, table = np.empty(len(values), np.uint32), 0, _behind_zeros().tolist()
+    for k, n in enumerate(count):
+        state = int(states[at])
+        for x in states[at + 1 : at + n].tolist():
+            state = table[0][state & 0xFF] ^ table[1][state >> 8 & 0xFF] ^ table[2][state >> 16 & 0xFF] ^ table[3][state >> 24] ^ x
+        out[k] = state
+        at += n
+    return ~out
+
+
 _CRC_LIST = _CRC.tolist()
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runefold.functions.hashing import md5_60, signed, xxh3_early
-from runefold.shared import spread
 
 # The stop words.
 STOP_WORDS = """
@@ -42,7 +41,7 @@ def fingerprints(documents: DataFrame, id_column: str, text_column: str, bits: i
     higher in the same number; a text may have 2**30 words.
     """
     half = bits // 2
-    words = spread(documents.select(id_column, text_column)).select(id_column, F.explode_outer(word_column(F.col(text_column))).alias("w")).select(id_column, hasher(F.col("w")).alias("h"))
+    words = documents.select(id_column, text_column).select(id_column, F.explode_outer(word_column(F.col(text_column))).alias("w")).select(id_column, hasher(F.col("w")).alias("h"))
     both = F.lit(1 | 1 << half)
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(both)).alias(f"s{i}") for i in range(half)]
     folded = words.groupBy(id_column).agg(F.count("h").alias("n"), *sums)

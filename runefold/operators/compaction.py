@@ -9,13 +9,16 @@ the order of runs.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runefold.operators.resolve import resolve
 from runefold.operators.scan import positions
+from runefold.shared import hadoop_fs, open_fs, parallelism
 
 
 def flush_threshold(capacity: int) -> int:
@@ -91,6 +94,44 @@ def write_run(rows: DataFrame, path: str, partitions: int | None = None) -> None
     )
 
 
+#: Bytes of a run's file that one Merkle leaf covers.
+LEAF_BYTES = 1 << 20
+
+
+def run_leaves(spark: SparkSession, path: str, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
+    """``file, chunk, hash``: Merkle leaves of a run's files as they are stored.
+
+    Files are read in the executors, a leaf at a time; only their names are listed on the driver.
+    """
+    fs, at = hadoop_fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().endswith(".parquet")]
+
+    def read(batches):
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                src, root = open_fs(path)
+                with src.open_input_stream(f"{root}/{name}") as f:
+                    chunk = 0
+                    while data := f.read(leaf_bytes):
+                        yield pa.RecordBatch.from_pydict({"file": [name], "chunk": pa.array([chunk], pa.int32()), "hash": [hashlib.sha256(data).hexdigest()]})
+                        chunk += 1
+
+    files = spark.createDataFrame([(n,) for n in names], "file string")
+    return files.repartition(max(1, min(len(names), parallelism(spark))), "file").mapInArrow(read, "file string, chunk int, hash string")
+
+
+def seal_run(spark: SparkSession, path: str) -> None:
+    """Store the run's Merkle leaves beside it."""
+    run_leaves(spark, path).write.mode("overwrite").parquet(f"{path}-merkle")
+
+
+def run_damage(spark: SparkSession, path: str) -> DataFrame:
+    """``file, chunk`` of every leaf that is not as it was when the run was sealed, missing and additional ones included."""
+    sealed = spark.read.schema("file string, chunk int, hash string").parquet(f"{path}-merkle").withColumnRenamed("hash", "__sealed")
+    both = sealed.join(run_leaves(spark, path), ["file", "chunk"], "full")
+    return both.where(~F.col("hash").eqNullSafe(F.col("__sealed"))).select("file", "chunk")
+
+
 def size_tiered_levels(runs: DataFrame, by: str, max_per_level: int = 5, last_level: int = 6) -> DataFrame:
     """``by, level, n_runs`` of the levels that a size-tiered compaction of each store merges.
 

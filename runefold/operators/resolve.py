@@ -56,6 +56,11 @@ def deleted(ops: DataFrame) -> DataFrame:
     return resolve(ops).where("tombstone").select("key", "ts", "seq")
 
 
+def without(ops: DataFrame, keys: DataFrame) -> DataFrame:
+    """Physical delete: the operations without any version of these keys (column ``key``); a null key removes nothing."""
+    return ops.join(keys.select("key").where("key is not null").distinct(), "key", "left_anti")
+
+
 def last_arrival(ops: DataFrame) -> DataFrame:
     """In-memory table semantics: the last row by arrival (``seq``) wins, whatever its timestamp."""
     last = ops.dropna(subset=["key"]).groupBy("key").agg(F.max(F.struct("seq", "ts", "tombstone", "value")).alias("__v"))

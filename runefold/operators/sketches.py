@@ -27,6 +27,11 @@ def default_hash(value: Column, seed: Column) -> Column:
     return md5_60(value, seed)
 
 
+def unsigned_mod(h: Column, m: int) -> Column:
+    """Remainder of a hash read as an unsigned 64-bit number."""
+    return F.pmod(F.shiftrightunsigned(h, 1) % m * 2 + h.bitwiseAND(F.lit(1)), F.lit(m))
+
+
 def _clamp(x: float, low: float, high: float) -> float:
     return min(max(x, low), high)
 
@@ -46,7 +51,7 @@ def bloom_positions(values: DataFrame, column: str, bits: int, hashes: int, hash
     if not hashes:
         return values.where("false").withColumn("position", F.lit(0).cast("bigint"))
     seeds = values.where(F.col(column).isNotNull()).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
-    return seeds.withColumn("position", F.pmod(hasher(F.col(column), F.col("__i")), F.lit(bits))).drop("__i")
+    return seeds.withColumn("position", unsigned_mod(hasher(F.col(column), F.col("__i")), bits)).drop("__i")
 
 
 def bloom_build(values: DataFrame, column: str, bits: int, hashes: int, hasher: Hasher = default_hash) -> DataFrame:
@@ -103,7 +108,7 @@ def cms_build(values: DataFrame, column: str, rows: int, columns: int, hasher: H
     """Cells ``row, col, count``. Values are counted first, so a frequent one is hashed once per task."""
     counted = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
     spread = counted.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    return spread.withColumn("col", F.pmod(hasher(F.col(column), F.col("row")), F.lit(columns))).groupBy("row", "col").agg(F.sum("__n").alias("count"))
+    return spread.withColumn("col", unsigned_mod(hasher(F.col(column), F.col("row")), columns)).groupBy("row", "col").agg(F.sum("__n").alias("count"))
 
 
 def cms_union(*sketches: DataFrame) -> DataFrame:
@@ -116,7 +121,7 @@ def cms_union(*sketches: DataFrame) -> DataFrame:
 def cms_estimate(asked: DataFrame, column: str, sketch: DataFrame, rows: int, columns: int, hasher: Hasher = default_hash) -> DataFrame:
     """Distinct asked values with ``estimate``, at least the true count."""
     asked = asked.select(column).where(F.col(column).isNotNull()).distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    cells = asked.withColumn("col", F.pmod(hasher(F.col(column), F.col("row")), F.lit(columns))).join(sketch, ["row", "col"], "left")
+    cells = asked.withColumn("col", unsigned_mod(hasher(F.col(column), F.col("row")), columns)).join(sketch, ["row", "col"], "left")
     return cells.groupBy(column).agg(F.min(F.coalesce("count", F.lit(0))).cast("bigint").alias("estimate"))
 
 
@@ -149,7 +154,7 @@ def hll_build(values: DataFrame, column: str, precision: int = 10, hasher: Hashe
     """Registers ``bucket, rho``: the top bits choose the bucket, trailing zeros give rho."""
     p = hll_precision(precision)
     h = values.where(F.col(column).isNotNull()).select(hasher(F.col(column), F.lit(0)).alias("h"))
-    zeros = F.when(F.col("h") == 0, F.lit(64)).otherwise(F.bit_count(F.col("h").bitwiseAND(-F.col("h")) - 1))
+    zeros = F.when(F.col("h") == 0, F.lit(64)).when(F.col("h") == F.lit(-(1 << 63)), F.lit(63)).otherwise(F.bit_count(F.col("h").bitwiseAND(-F.col("h")) - 1))
     return h.select(F.shiftrightunsigned("h", bits - p).cast("int").alias("bucket"), (F.least(F.lit(bits - p), zeros) + 1).cast("int").alias("rho")).groupBy("bucket").agg(F.max("rho").alias("rho"))
 
 

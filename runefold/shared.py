@@ -89,16 +89,3 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out anew if its scan has fewer splits than there are cores.
-
-    For stages that compute much per row over inputs of few, small files; large
-    inputs have more splits than cores and pass unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution()
-    if "AdaptiveSparkPlan" in plan.executedPlan().toString():
-        return df  # behind an exchange: counting its partitions would run it
-    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df

@@ -276,3 +276,112 @@ def test_engine_sketches_and_limits(spark, tmp_path):
     e.tokens = 1
     with pytest.raises(TokenBucketError):
         e.bloom_filter_contains(b"f", b"x")
+
+
+def many_puts(e, n, keys, now):
+    for i in range(n):
+        now[0] += 1
+        e._append([(b"key_%05d" % (i % keys), b"%d" % i if i % 7 else None, i % 7 == 0)])
+
+
+@pytest.mark.parametrize("policy", ["SizeTiered", "Leveled"])
+def test_engine_flushes_and_merges_runs_by_policy(spark, tmp_path, policy):
+    now = [0]
+    config = DBConfig(memory_table_capacity=50, memory_table_pool_num=1, lsm_max_per_level=2, lsm_max_level=3, lsm_leveled_amplification=1, compaction_algorithm_type=policy)
+    e = KvEngine(spark, f"file://{tmp_path}/db", config, clock=lambda: now[0])
+    many_puts(e, 420, 60, now)  # ten flushes
+    levels = [r["level"] for r in e.runs()]
+    assert max(levels) >= 1 and levels.count(0) <= 2
+    folders = [p.name for p in (tmp_path / "db" / "runs").iterdir() if not p.name.endswith("-merkle") and not p.name.startswith(".")]
+    assert sorted(folders) == sorted(r["run"] for r in e.runs())  # merged runs are gone
+    assert e.damaged_runs().count() == 0
+    want = {b"key_%05d" % (i % 60): (None if i % 7 == 0 else b"%d" % i) for i in range(420)}
+    again = KvEngine(spark, f"file://{tmp_path}/db", config, clock=lambda: now[0])
+    assert len(again.memory) == len(e.memory) > 0
+    for x in (e, again):
+        got = {as_bytes(r["key"]): as_bytes(r["value"]) for r in resolve.state(x.operations()).collect()}
+        assert got == {k: v for k, v in want.items() if v is not None}
+        assert all(x.get(k) == want[k] for k in (b"key_00000", b"key_00007", b"key_00059"))
+    e.compact()
+    assert len(e.runs()) == 1 and len([p for p in (tmp_path / "db" / "runs").iterdir()]) == 2
+    assert [n for n in (tmp_path / "db" / "wal").iterdir() if not n.name.startswith(".")] == []
+    e.remove_keys(spark.createDataFrame([(b"key_00001",), (None,)], "key binary"))
+    assert resolve.resolve(e.operations()).count() == 59 and e.get(b"key_00001") is None
+
+
+def test_damaged_runs_are_reported(spark, tmp_path):
+    e = KvEngine(spark, f"file://{tmp_path}/db")
+    e.apply_many(spark.range(500).selectExpr("cast(cast(id as string) as binary) as key", "cast('v' as binary) as value", "false as tombstone", "id as ts", "id as seq"))
+    e.flush()
+    run = tmp_path / "db" / "runs" / e.runs()[0]["run"]
+    file = next(p for p in run.iterdir() if p.suffix == ".parquet")
+    data = bytearray(file.read_bytes())
+    data[len(data) // 2] ^= 1
+    file.write_bytes(data)
+    (run / f".{file.name}.crc").unlink(missing_ok=True)
+    assert [(r["file"], r["chunk"]) for r in e.damaged_runs().collect()] == [(file.name, 0)]
+
+
+def test_memory_and_cache_answer_without_jobs(spark, tmp_path):
+    now = [0]
+    e = KvEngine(spark, f"file://{tmp_path}/db", DBConfig(cache_max_size=2), clock=lambda: now[0])
+    for k in (b"a", b"b", b"c"):
+        assert e.get(k) is None
+    assert list(e.cache) == [b"b", b"c"]  # absent keys are remembered, the oldest answer is dropped
+    e.operations = None
+    assert e.get(b"b") is None
+    now[0] = 5
+    e.insert(b"b", b"1")
+    e.delete(b"c")
+    assert e.get(b"b") == b"1" and e.get(b"c") is None and list(e.cache) == []
+
+
+def test_state_of_the_rate_limiter_outlives_the_engine(spark, tmp_path):
+    config = DBConfig(token_bucket_capacity=3, token_bucket_refill_rate=0)
+    e = KvEngine(spark, f"file://{tmp_path}/db", config, clock=lambda: 7)
+    e.insert(b"a", b"1")
+    e.insert(b"a", b"2")
+    again = KvEngine(spark, f"file://{tmp_path}/db", config, clock=lambda: 8)
+    assert again.tokens == 1 and again.last == 7
+    again.insert(b"b", b"")
+    with pytest.raises(TokenBucketError):
+        again.insert(b"c", b"")
+
+
+def test_torn_and_damaged_appends_are_passed_over(spark, tmp_path):
+    e = KvEngine(spark, f"file://{tmp_path}/db", clock=lambda: 1)
+    e._append([(b"a", b"1", False), (b"b", b"2", False), (b"c", b"3", False)])
+    file = next(p for p in (tmp_path / "db" / "wal").iterdir() if p.suffix == ".log")
+    data = bytearray(file.read_bytes())
+    data[45] ^= 1  # in the second record
+    file.write_bytes(data[:-1])
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    again = KvEngine(spark, f"file://{tmp_path}/db", clock=lambda: 2)
+    assert {k: v[3] for k, v in again.memory.items()} == {b"a": b"1"} and again._seq == 2
+
+
+def test_two_engines_cannot_publish_over_each_other(spark, tmp_path):
+    a, c = (KvEngine(spark, f"file://{tmp_path}/db", clock=lambda: 1) for _ in range(2))
+    a._append([(b"x", b"1", False)])
+    with pytest.raises(Exception, match="exists"):
+        c._append([(b"y", b"1", False)])
+    b = KvEngine(spark, f"file://{tmp_path}/db", clock=lambda: 1)
+    a.flush()
+    with pytest.raises(Exception, match="exists"):
+        b.flush()
+    with pytest.raises(ValueError):
+        a._publish(a._state | {"seq": -1})
+    assert a.get(b"x") == b"1" and len(a.runs()) == 1
+
+
+def test_streams_of_other_users_keep_running(spark, tmp_path):
+    rows = spark.createDataFrame([(b"k%d" % i, b"v", False, i, i) for i in range(20)], OPS)
+    rows.repartition(2).write.parquet(str(tmp_path / "in"))
+    e = KvEngine(spark, f"file://{tmp_path}/db", clock=lambda: 1)
+    other = spark.readStream.format("rate").load().writeStream.format("memory").queryName("other").start()
+    try:
+        e.ingest(spark.readStream.schema(OPS).parquet(str(tmp_path / "in")), f"file://{tmp_path}/cp").awaitTermination()
+        e.shut_down()
+        assert other.isActive and e.batch_get(rows.select("key")).where("value is not null").count() == 20
+    finally:
+        other.stop()

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,19 @@ def test_merkle(spark):
 def test_thrift_round_trip():
     s = {1: (thrift.I32, -5), 2: (thrift.LIST, (thrift.STRUCT, [{1: (thrift.BINARY, b"x" * 200)}] * 20)), 4: (thrift.TRUE, None), 40: (thrift.I64, 1 << 50), 41: (thrift.DOUBLE, b"12345678")}
     assert thrift.load(thrift.dump(s)) == s
+
+
+def test_many_hashes_at_once_are_those_of_single_values():
+    r = random.Random(12)
+    values = [r.randbytes(n) for n in [*range(0, 300), 512, 513, 1023, 1024, 1025, 1100, 2048, 5000] for _ in range(2)]
+    seeds = np.array([r.choice([0, 1, r.randrange(1 << 64)]) for _ in values], np.uint64)
+    assert hashing.xxh3_early_many(values, seeds).tolist() == [hashing.xxh3_early(v, int(s)) for v, s in zip(values, seeds)]
+    assert hashing.xxh3_early(b"abcd") == 10927344704649967500
+
+
+def test_long_checksums():
+    r = random.Random(13)
+    values = [r.randbytes(n) for n in (0, 1, 4095, 4096, 4097, 8192, 8193, 20_000)] + [b"123456789"]
+    assert integrity.crc32c_many(values).tolist() == [integrity.crc32c(v) for v in values]
+    assert integrity.crc32c_many([b"123456789"])[0] == 0xE3069283
+    assert len(integrity.crc32c_many([bytes(10_000_000)])) == 1
