@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runefold.schema import RESERVED
@@ -71,9 +70,3 @@ def most_recent_keys(accesses: DataFrame, capacity: int) -> DataFrame:
     """What a least-recently-used cache of ``capacity`` keys holds after the accesses: a top-k by last access."""
     last = accesses.dropna(subset=["key"]).groupBy("key").agg(F.max("seq").alias("last_seq"))
     return last.orderBy(F.desc("last_seq")).limit(capacity)
-
-
-def versions(ops: DataFrame) -> DataFrame:
-    """All versions of each key, numbered from the newest."""
-    w = W.partitionBy("key").orderBy(F.desc("ts"), F.desc("seq"))
-    return ops.dropna(subset=["key"]).withColumn("version", F.row_number().over(w))

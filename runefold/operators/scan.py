@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,6 +58,11 @@ def page_after(rows: DataFrame, last: bytes | None, size: int) -> DataFrame:
     return (rows if last is None else rows.where(F.col("key") > F.lit(last))).orderBy("key").limit(size)
 
 
+def page_before(rows: DataFrame, first: bytes, size: int) -> DataFrame:
+    """The rows before a key, nearest first."""
+    return rows.where(F.col("key") < F.lit(first)).orderBy(F.desc("key")).limit(size)
+
+
 def positions(rows: DataFrame) -> DataFrame:
     """Every row with its place in key order, from 0, without one task holding all rows.
 
@@ -75,11 +82,33 @@ def positions(rows: DataFrame) -> DataFrame:
     return ordered.join(F.broadcast(offsets), part).withColumn("position", F.col(before) + F.col(place)).drop(part, place, before)
 
 
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Adds ``name``: the number of each row, from 1, among those that agree in ``by``; rows of one group may fill any number of tasks.
+
+    Ranges of (group, order) are numbered by themselves, then a range whose
+    first group began earlier adds that group's rows before it. ``order`` should
+    tell the rows of a group apart; else rows with equal places are numbered in no set order.
+    """
+    spark = rows.sparkSession
+    part, place, before = (free_name(rows, c) for c in ("__p", "__i", "__before"))
+    ranged = written(rows.repartitionByRange(parallelism(spark), *by, *order).withColumn(part, F.spark_partition_id()), workspace(spark, "numbered"))
+    inside = ranged.withColumn(place, F.row_number().over(W.partitionBy(part, *by).orderBy(*order)))
+    counts = ranged.groupBy(part, *by).agg(F.count("*").alias("__n"))
+    sums = counts.withColumn(before, F.sum("__n").over(W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1))).where(F.col(before) > 0)
+    carried = sums.select(F.col(part).alias("__cp"), *[F.col(c).alias(f"__c_{c}") for c in by], before)
+    same = F.col(part) == F.col("__cp")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__c_{c}"))
+    # A range has one group at most that began before it, so this table is bounded by the number of ranges.
+    return inside.join(F.broadcast(carried), same, "left").withColumn(name, F.col(place) + F.coalesce(before, F.lit(0))).select(*rows.columns, F.col(name).cast("bigint").alias(name))
+
+
 class Cursor:
     """Walks live keys of a scan: ``next`` gives row i and steps on, ``prev`` steps back and gives row i - 1.
 
-    Keys are fetched a block at a time by keyset paging, so a step costs at
-    most one bounded query and the rows behind are never read again.
+    One block of rows is held. At its ends the next one is fetched by keyset
+    paging in that direction, so a step costs at most one bounded query and
+    memory does not grow with the walk.
     """
 
     def __init__(self, rows: DataFrame, block: int = 256):
@@ -88,20 +117,26 @@ class Cursor:
 
     def stop(self) -> None:
         """Back to before the first row."""
-        self.seen, self.at, self.ended = [], 0, False
+        self.held, self.at, self.first, self.last = [], 0, True, False
 
     def next(self):
-        if self.at == len(self.seen) and not self.ended:
-            got = page_after(self.rows, bytes(self.seen[-1]["key"]) if self.seen else None, self.block).collect()  # one block
-            self.seen += got
-            self.ended = len(got) < self.block
-        if self.at == len(self.seen):
+        if self.at == len(self.held) and not self.last:
+            got = page_after(self.rows, bytes(self.held[-1]["key"]) if self.held else None, self.block).collect()  # one block
+            self.last = len(got) < self.block
+            if got:
+                self.first, self.held, self.at = not self.held and self.first, got, 0
+        if self.at == len(self.held):
             return None
         self.at += 1
-        return self.seen[self.at - 1]
+        return self.held[self.at - 1]
 
     def prev(self):
+        if not self.at and not self.first:
+            got = page_before(self.rows, bytes(self.held[0]["key"]), self.block).collect()  # one block
+            self.first = len(got) < self.block
+            if got:
+                self.held, self.at, self.last = got[::-1], len(got), False
         if not self.at:
             return None
         self.at -= 1
-        return self.seen[self.at]
+        return self.held[self.at]

@@ -44,8 +44,8 @@ def kv_current_state(spark, d):
 def kv_store_versions(spark, d):
     """All versions of every store's keys, numbered from the newest."""
     rows = table(spark, d, "kv_log").where("key is not null").select("store_id", "key", "ts", "seq").distinct()
-    w = W.partitionBy("store_id", "key").orderBy(F.desc("ts"), F.desc("seq"))
-    return rows.withColumn("version", F.row_number().over(w)).select("store_id", F.lower(F.hex("key")).alias("key_hex"), "seq", "version")
+    found = scan.numbered(rows, ["store_id", "key"], [F.desc("ts"), F.desc("seq")], "version")
+    return found.select("store_id", F.lower(F.hex("key")).alias("key_hex"), "seq", F.col("version").cast("int").alias("version"))
 
 
 def kv_point_get(spark, d):

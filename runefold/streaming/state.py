@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runefold.operators.ratelimit import step
 from runefold.operators.resolve import resolve
+from runefold.shared import hadoop_fs, remove
 
 
 def newest_versions(stream: DataFrame) -> DataFrame:
@@ -20,12 +23,14 @@ def newest_versions(stream: DataFrame) -> DataFrame:
     return stream.where("key is not null").groupBy("key").agg(newest).select("key", "__v.*")
 
 
-def merge_into(target: str):
-    """``foreachBatch`` function that folds each micro-batch into versions of a table under ``target``.
+def merge_into(target: str, parts: int = 64, keep: int = 2):
+    """``foreachBatch`` function that folds each micro-batch into a table of newest versions under ``target``.
 
-    Version n is written once, under its batch id; a batch that runs again
-    finds its version complete or writes the same rows anew. Readers take the
-    newest complete version (``current``).
+    The table is cut into ``parts`` by key hash and a batch rewrites only the
+    parts it touches. ``v<batch>.json`` names the folder of every part and is
+    written last, so a batch that runs again finds its version complete or
+    writes the same rows anew, and readers (``current``) never see half a
+    version. Folders that the newest ``keep`` versions do not name are deleted.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
@@ -33,26 +38,63 @@ def merge_into(target: str):
         before = _versions(spark, target)
         if batch_id in before:
             return
-        rows = batch.select("key", "ts", "seq", "tombstone", "value")
         older = [v for v in before if v < batch_id]
-        if older:
-            rows = rows.unionByName(spark.read.parquet(f"{target}/v{max(older)}"))
-        resolve(rows).write.mode("overwrite").parquet(f"{target}/v{batch_id}")
+        places = _places(spark, target, max(older)) if older else {}
+        rows = batch.select("key", "ts", "seq", "tombstone", "value").withColumn("__part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+        touched = [r[0] for r in rows.where("key is not null").select("__part").distinct().collect()]  # bounded by the parameter
+        held = [f"{target}/{places[str(p)]}" for p in touched if str(p) in places]
+        if held:
+            old = spark.read.schema("key binary, ts long, seq long, tombstone boolean, value binary").parquet(*held)
+            rows = rows.unionByName(old.withColumn("__part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")))
+        resolve(rows, by=("__part", "key")).write.mode("overwrite").partitionBy("__part").parquet(f"{target}/data/v{batch_id}")
+        places |= {str(p): f"data/v{batch_id}/__part={p}" for p in touched}
+        fs, at = hadoop_fs(spark, f"{target}/v{batch_id}.json")
+        out = fs.create(at, True)
+        out.write(bytearray(json.dumps(places).encode()))
+        out.close()
+        _expire(spark, target, [v for v in (*before, batch_id) if v <= batch_id], keep)
 
     return fold
 
 
+def _expire(spark, target: str, versions: list[int], keep: int) -> None:
+    kept = sorted(versions)[-keep:]
+    named = {p for v in kept for p in _places(spark, target, v).values()}
+    for v in set(versions) - set(kept):
+        remove(spark, f"{target}/v{v}.json")
+    fs, root = hadoop_fs(spark, f"{target}/data")
+    for folder in fs.listStatus(root) if fs.exists(root) else []:
+        name = folder.getPath().getName()
+        if int(name[1:]) > max(kept):
+            continue
+        for part in fs.listStatus(folder.getPath()):
+            own = part.getPath().getName()
+            if own.startswith("__part=") and f"data/{name}/{own}" not in named:
+                fs.delete(part.getPath(), True)
+
+
+def _places(spark, target: str, version: int) -> dict[str, str]:
+    fs, at = hadoop_fs(spark, f"{target}/v{version}.json")
+    f = fs.open(at)
+    try:
+        return json.loads(bytes(f.readAllBytes()).decode())
+    finally:
+        f.close()
+
+
 def _versions(spark, target: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, path = hadoop_fs(spark, target)
     if not fs.exists(path):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return [int(n[1:]) for n in names if n.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
+    return [int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")]
 
 
 def current(spark, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/v{max(_versions(spark, target))}")
+    found = _versions(spark, target)
+    places = [f"{target}/{p}" for p in _places(spark, target, max(found)).values()] if found else []
+    form = "key binary, ts long, seq long, tombstone boolean, value binary"
+    return spark.read.schema(form).parquet(*places) if places else spark.createDataFrame([], form)
 
 
 def admit_stream(stream: DataFrame, bucket: str, ts: str, tie: str, capacity: int = 1000, rate: int = 100) -> DataFrame:

@@ -200,6 +200,48 @@ def test_token_bucket(spark):
     assert ratelimit.bucket_from_bytes(ratelimit.bucket_bytes(5, 3, 1 << 70, 9)) == (5, 3, 1 << 70, 9)
 
 
+@pytest.mark.parametrize(("capacity", "rate", "cost"), [(3, 1, 1), (40, 1, 1), (9, 2, 3), (300, 1, 1)])
+def test_a_hot_bucket_fills_many_tasks(spark, capacity, rate, cost):
+    r = random.Random(capacity)
+    t, rows = 0, []
+    for i in range(3000):
+        t += r.choice([0, 1000, 90_000, 400_000, 1_200_000])
+        rows.append(("hot" if i % 10 < 8 else f"b{r.randrange(5)}", t, i))
+    rows += [(None, 5, 9001), ("hot", None, 9002)]
+    df = spark.createDataFrame(rows, "b string, t long, i int").repartition(3)
+    got = {x["i"]: x["granted"] for x in ratelimit.admit(df, "b", "t", "i", capacity, rate, cost).collect()}
+    state, want = {}, {9001: False, 9002: False}
+    for b, t, i in rows[:3000]:
+        tokens, last = state.get(b, (capacity, None))
+        tokens, want[i] = ratelimit.step(tokens, last, t, cost, capacity, rate)
+        state[b] = (tokens, t)
+    assert got == want and 0 < sum(got.values()) < 3000
+
+
+def test_a_hot_key_is_numbered_in_ranges(spark):
+    rows = [(1 if i % 3 else None, b"hot" if i % 10 else b"k%d" % (i % 50), i) for i in range(2000)]
+    got = scan.numbered(spark.createDataFrame(rows, "s int, key binary, n int"), ["s", "key"], [F.desc("n")], "number").collect()
+    want = {}
+    for s, k, n in sorted(rows, key=lambda r: -r[2]):
+        want.setdefault((s, k), []).append(n)
+    assert {(r["s"], as_bytes(r["key"]), r["n"]): r["number"] for r in got} == {(*g, n): i + 1 for g, ns in want.items() for i, n in enumerate(ns)}
+
+
+def test_cursor_holds_one_block_in_both_directions(spark, alphabet):
+    ops, keys = alphabet
+    c, r, at = scan.Cursor(scan.prefix_scan(ops, b"A"), block=5), random.Random(2), 0
+    for _ in range(60):
+        if r.random() < 0.6:
+            row = c.next()
+            assert (row and as_bytes(row["key"])) == (keys[at] if at < 26 else None)
+            at = min(26, at + 1)
+        else:
+            row = c.prev()
+            assert (row and as_bytes(row["key"])) == (keys[at - 1] if at else None)
+            at = max(0, at - 1)
+        assert len(c.held) <= 5
+
+
 def test_log_segments_and_damage(spark, tmp_path):
     ops = spark.createDataFrame([(b"k%d" % i, None if i % 2 else b"v" * i, bool(i % 2), i, i) for i in range(50)], OPS)
     segments = wal.write_segments(ops, 20)

@@ -27,6 +27,20 @@ def test_streamed_versions_match_batch(spark, tmp_path):
     assert sorted(map(str, spark.table("newest").select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_a_batch_rewrites_the_parts_it_touches(spark, tmp_path):
+    target, fold = f"file://{tmp_path}/t", state.merge_into(f"file://{tmp_path}/t", parts=8)
+    rows = [(b"k%d" % i, b"v", False, 1, i) for i in range(200)]
+    fold(spark.createDataFrame(rows, OPS), 0)
+    fold(spark.createDataFrame([(b"k3", b"new", False, 2, 500), (None, b"", False, 3, 501)], OPS), 1)
+    fold(spark.createDataFrame([(b"k4", b"late", False, 0, 502)], OPS), 2)
+    fold(spark.createDataFrame([], OPS), 3)
+    got = {bytes(r["key"]): bytes(r["value"]) for r in state.current(spark, target).collect()}
+    assert got == {k: v for k, v, *_ in rows} | {b"k3": b"new"}
+    kept = sorted(str(p.relative_to(tmp_path / "t")) for p in (tmp_path / "t" / "data").glob("v*/__part=*"))
+    assert len([p for p in kept if "/v1/" in f"/{p}"]) == len([p for p in kept if "/v2/" in f"/{p}"]) == 1 and len(kept) == 8
+    assert sorted(state._versions(spark, target)) == [2, 3]
+
+
 def test_streamed_rate_limit_matches_batch(spark, tmp_path):
     rows = spark.range(200).select((F.col("id") % 3).alias("b"), (F.col("id") * 90_000).alias("us"), "id")
     rows.coalesce(1).sortWithinPartitions("us").write.option("maxRecordsPerFile", 80).parquet(str(tmp_path / "log"))
