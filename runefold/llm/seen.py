@@ -113,9 +113,9 @@ class Stream:
         return int(hit.sum())
 
 
-def _routed(rows: DataFrame, partitions: int | None) -> DataFrame:
-    # A count reads the files' footers only.
-    n = partitions or max(parallelism(rows.sparkSession), -(-rows.count() // PARTITION_ROWS))
+def _routed(rows: DataFrame, partitions: int | None, *tables: DataFrame) -> DataFrame:
+    # Counts of whole tables read the files' footers only.
+    n = partitions or max(parallelism(rows.sparkSession), -(-sum(t.count() for t in tables) // PARTITION_ROWS))
     first = rows.mapInArrow(_first_in_batch, EVENT)
     # Answered entries need no state: they are spread by id, so a hot key does not gather them in one partition.
     return first.repartition(n, F.when(F.col("seen"), F.col("id")).otherwise(F.col("h"))).sortWithinPartitions("ts", "src", "id")
@@ -133,7 +133,7 @@ def seen_before(log: DataFrame, entries: DataFrame, batch_keys: int = BATCH_KEYS
             answer[~known] = state.add(h.to_numpy()[~known])
             yield pa.RecordBatch.from_arrays([pa.array(id_.to_numpy()[answer & (src.to_numpy() == 0)])], ["entry_id"])
 
-    return _routed(events(log, entries), partitions).mapInArrow(run, "entry_id long")
+    return _routed(events(log, entries), partitions, log, entries).mapInArrow(run, "entry_id long")
 
 
 def audit(log: DataFrame, entries: DataFrame, probes: int = 100_000, batch_keys: int = BATCH_KEYS, bits: int = 32, partitions: int | None = None) -> DataFrame:
@@ -162,6 +162,6 @@ def audit(log: DataFrame, entries: DataFrame, probes: int = 100_000, batch_keys:
             }
         )
 
-    parts = _routed(events(log, entries).unionByName(asked), partitions).mapInArrow(run, "keys long, generations long, filter_bytes long, open_bytes long, probes long, wrong long")
+    parts = _routed(events(log, entries).unionByName(asked), partitions, log, entries).mapInArrow(run, "keys long, generations long, filter_bytes long, open_bytes long, probes long, wrong long")
     total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in parts.columns]
     return parts.agg(*total).withColumn("wrong_rate", F.when(F.col("probes") > 0, F.col("wrong") / F.col("probes")))
