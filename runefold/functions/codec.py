@@ -127,6 +127,12 @@ def write_table_record(r: Record, variable: bool = True) -> bytes:
     return (encode(crc) if variable else struct.pack("<I", crc)) + body
 
 
+@F.pandas_udf(T.BinaryType())
+def table_record_udf(key: pd.Series, value: pd.Series, tombstone: pd.Series, ts: pd.Series, variable: pd.Series) -> pd.Series:
+    """``write_table_record`` of each row."""
+    return pd.Series([write_table_record(Record(bytes(k), None if v is None else bytes(v), bool(d), int(t)), bool(x)) for k, v, d, t, x in zip(key, value, tombstone, ts, variable)])
+
+
 def read_table_record(data: bytes, at: int = 0, variable: bool = True) -> tuple[Record, int]:
     def get(at: int, width: int) -> tuple[int, int]:
         if variable:

@@ -158,6 +158,23 @@ def size_tiered_levels(runs: DataFrame, by: str, max_per_level: int = 5, last_le
     return merged.select(by, F.explode("__out").alias("__o")).select(by, "__o.level", "__o.n_runs")
 
 
+def leveled_inputs(runs: DataFrame, by: str, max_per_level: int = 5, amplification: int = 10) -> DataFrame:
+    """``by, level, main_id, input_id``: what leveled compaction of each store merges, as its levels are now.
+
+    ``runs`` has ``by, level, run_id, min_key, max_key``; a smaller ``run_id``
+    is older. A level above ``max_per_level * amplification ** level`` gives its
+    oldest run (``main_id``), which merges with the runs of the next level whose
+    key ranges meet its own; ``input_id`` is each of these and the run itself.
+    A store has one such run a level, so no pair of other runs is formed.
+    """
+    full = runs.groupBy(by, "level").agg(F.count("*").alias("n"), F.min(F.struct("run_id", "min_key", "max_key")).alias("m"))
+    full = full.where(F.col("n") > max_per_level * F.pow(F.lit(amplification), F.col("level")))
+    main = full.select(F.col(by).alias("__by"), F.col("level").alias("__level"), F.col("m.run_id").alias("main_id"), F.col("m.min_key").alias("__a"), F.col("m.max_key").alias("__b"))
+    below = (F.col(by) == F.col("__by")) & (F.col("level") == F.col("__level") + 1) & overlaps(F.col("min_key"), F.col("max_key"), F.col("__a"), F.col("__b"))
+    hit = runs.join(main, below).select(by, F.col("__level").alias("level"), "main_id", F.col("run_id").alias("input_id"))
+    return main.select(F.col("__by").alias(by), F.col("__level").alias("level"), "main_id", F.col("main_id").alias("input_id")).unionByName(hit)
+
+
 @dataclass(frozen=True)
 class Run:
     """What planning needs of a run. ``id`` grows with age: smaller is older."""

@@ -21,9 +21,11 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runefold.shared import free_name, parallelism, workspace, written
 
@@ -49,15 +51,15 @@ def _through(start: np.ndarray, ts: list[int], cost: int, capacity: int, rate: i
     return tokens
 
 
-def admit(requests: DataFrame, bucket: str, ts: str, tie: str, capacity: int = 1000, rate: int = 100, cost: int = 1) -> DataFrame:
-    """Adds ``granted`` to ``bucket, ts, tie`` (times as microseconds, BIGINT)."""
+def admit(requests: DataFrame, bucket: str, ts: str, tie: str, capacity: int = 1000, rate: int = 100, cost: int = 1, tokens_left: bool = False) -> DataFrame:
+    """Adds ``granted``, and with ``tokens_left`` the bucket's ``tokens`` after the request, to ``bucket, ts, tie`` (times as microseconds, BIGINT)."""
     spark = requests.sparkSession
     rows = requests.select(bucket, ts, tie)
     part = free_name(rows, "__p")
     n = parallelism(spark)
     known = rows.where(F.col(bucket).isNotNull() & F.col(ts).isNotNull()).repartitionByRange(n, bucket, ts, tie).withColumn(part, F.spark_partition_id())
     ranged = written(known, workspace(spark, "requests")).repartitionById(n, F.col(part)).sortWithinPartitions(bucket, ts, tie)
-    places, names = [ranged.columns.index(c) for c in (bucket, ts, part)], [*rows.columns, "granted"]
+    places, names = [ranged.columns.index(c) for c in (bucket, ts, part)], [*rows.columns, "granted", "tokens"][: None if tokens_left else -1]
 
     def stretches(batches):
         """(range, bucket, times) in order; times of a bucket come in several pieces."""
@@ -119,7 +121,7 @@ def admit(requests: DataFrame, bucket: str, ts: str, tie: str, capacity: int = 1
     def answer(batches):
         now, tokens, last = None, capacity, None
         for b in batches:
-            out = []
+            out, left = [], []
             for p, key, times in stretches([b]):
                 if now is None or key != now[0]:
                     tokens, last = carried.get(p, (capacity, None)) if now is None else (capacity, None)
@@ -128,13 +130,28 @@ def admit(requests: DataFrame, bucket: str, ts: str, tie: str, capacity: int = 1
                     tokens, ok = step(tokens, last, t, cost, capacity, rate)
                     last = t
                     out.append(ok)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i, c in enumerate(b.schema.names) if c != part), pa.array(out, pa.bool_())], names)
+                    left.append(tokens)
+            columns = [*(b.column(i) for i, c in enumerate(b.schema.names) if c != part), pa.array(out, pa.bool_()), pa.array(left, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", granted boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", granted boolean" + ", tokens long" * tokens_left
     refused = rows.where(F.col(bucket).isNull() | F.col(ts).isNull()).withColumn("granted", F.lit(False))
+    if tokens_left:
+        refused = refused.withColumn("tokens", F.lit(None).cast("long"))
     return ranged.mapInArrow(answer, schema).unionByName(refused)
 
 
+def states(requests: DataFrame, bucket: str, ts: str, tie: str, capacity: int = 1000, rate: int = 100) -> DataFrame:
+    """``bucket, tokens, last``: what each bucket holds after all requests, and when it was asked last."""
+    done = admit(requests, bucket, ts, tie, capacity, rate, tokens_left=True).where("tokens is not null")
+    return done.groupBy(bucket).agg(F.max(F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"), "tokens")).alias("m")).select(bucket, "m.tokens", F.col("m.t").alias("last"))
+
+
+@F.pandas_udf(T.BinaryType())
+def bucket_bytes_udf(capacity: pd.Series, tokens: pd.Series, last: pd.Series, rate: pd.Series) -> pd.Series:
+    return pd.Series([bucket_bytes(*map(int, r)) for r in zip(capacity, tokens, last, rate)])
+
+
 def bucket_bytes(capacity: int, tokens: int, last: int, rate: int) -> bytes:
     """Byte form: capacity u64, tokens u64, last refill u128, rate u64."""
     return struct.pack("<QQ", capacity, tokens) + last.to_bytes(16, "little") + struct.pack("<Q", rate)

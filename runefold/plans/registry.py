@@ -1,6 +1,6 @@
 """All registered queries of the core and their SQL twins."""
 
-from runefold.plans import kv, problems
+from runefold.plans import engine, kv, problems
 
-QUERIES = {**problems.QUERIES, **kv.QUERIES}
-SQL = {**problems.SQL, **kv.SQL}
+QUERIES = {**problems.QUERIES, **kv.QUERIES, **engine.QUERIES}
+SQL = {**problems.SQL, **kv.SQL, **engine.SQL}

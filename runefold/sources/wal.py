@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runefold.functions.codec import CRCError, Record, read_log_record, write_log_record
 from runefold.functions.integrity import crc32c_udf
 from runefold.operators.scan import positions
 from runefold.schema import LOG
+from runefold.shared import workspace, written
 
 
 def append(ops: DataFrame, path: str, records_per_file: int = 0) -> None:
@@ -99,3 +102,97 @@ def read_segments(segments: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["segment", "place", "key", "value", "tombstone", "ts", "error"]).astype({"tombstone": "boolean", "ts": "Int64"})
 
     return segments.select("segment", "data").mapInPandas(unpack, "segment long, place long, key binary, value binary, tombstone boolean, ts long, error string")
+
+
+def cut_segments(segments: DataFrame, file_bytes: int) -> DataFrame:
+    """``file, data``: the segments' bytes in one stream, cut at every ``file_bytes`` wherever records end, as a log that rotates by size."""
+    sizes = segments.select("segment", F.octet_length("data").cast("bigint").alias("size"))
+    # Sizes only, a row a segment.
+    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(W.orderBy("segment").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    placed = segments.select("segment", "data").join(starts, "segment").where("size > 0")
+    first, last = F.floor(F.col("start") / file_bytes), F.floor((F.col("start") + F.col("size") - 1) / file_bytes)
+    pieces = placed.withColumn("file", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.col("file") * file_bytes - F.col("start"), F.lit(0))
+    end = F.least((F.col("file") + 1) * file_bytes - F.col("start"), F.col("size"))
+    cut = pieces.select("file", F.struct("start", F.substring("data", (begin + 1).cast("int"), (end - begin).cast("int")).alias("data")).alias("piece"))
+    # A file's pieces hold ``file_bytes`` together.
+    whole = F.aggregate(F.array_sort(F.collect_list("piece")), F.lit(b""), lambda a, p: F.concat(a, p["data"]))
+    return cut.groupBy("file").agg(whole.alias("data")).select(F.col("file").cast("bigint").alias("file"), "data")
+
+
+def _first_record(data: bytes) -> int | None:
+    """The least offset at which a record with a fitting checksum begins, None if there is none."""
+    b = np.frombuffer(data, np.uint8)
+    n = len(b) - 36
+    if n <= 0:
+        return None
+    plausible = b[20 : 20 + n] <= 1
+    for high in (*range(25, 29), *range(33, 37)):  # upper halves of both lengths
+        plausible &= b[high : high + n] == 0
+    for at in np.flatnonzero(plausible).tolist():
+        try:
+            read_log_record(data, at)
+            return at
+        except (CRCError, EOFError):
+            continue
+    return None
+
+
+def _records(data: bytes, at: int, out: list) -> int:
+    """Append (key, value, tombstone, ts, error) of the records from ``at`` on; where the data ends inside one, its start."""
+    while at < len(data):
+        try:
+            r, at = read_log_record(data, at)
+            out.append((r.key, r.value, r.tombstone, r.ts, None))
+        except CRCError:
+            at += 37 + int.from_bytes(data[at + 21 : at + 29], "little") + int.from_bytes(data[at + 29 : at + 37], "little")
+            out.append((None, None, None, None, "crc"))
+        except EOFError:
+            break
+    return at
+
+
+_FOUND = ["key", "value", "tombstone", "ts", "error"]
+_RECORD = "key binary, value binary, tombstone boolean, ts long, error string"
+
+
+def read_stream(files: DataFrame) -> DataFrame:
+    """``key, value, tombstone, ts, error`` of a log whose records may span files (``file, data``, in order of ``file``).
+
+    Every file is read by itself from the first place where a record's checksum
+    fits. What lies before it, and what is left at its end, are joined with the
+    neighbours' over files without such a place. A damaged record has an error
+    (``crc``), as has what remains of one whose end or start is missing (``torn``).
+    """
+
+    def inside(batches):
+        for pdf in batches:
+            out = []
+            for file, data in zip(pdf["file"], pdf["data"]):
+                data, found = bytes(data), []
+                at = _first_record(data)
+                end = len(data) if at is None else _records(data, at, found)
+                out += [(file, None, None, None, *r) for r in found]
+                out.append((file, at is not None, data[:at] if at is not None else data, data[end:], None, None, None, None, None))
+            yield pd.DataFrame(out, columns=["file", "synced", "head", "tail", *_FOUND]).astype({"synced": "boolean", "tombstone": "boolean", "ts": "Int64"})
+
+    read = files.select("file", "data").mapInPandas(inside, f"file long, synced boolean, head binary, tail binary, {_RECORD}")
+    read = written(read, workspace(files.sparkSession, "log"))
+    whole, ends = read.where("synced is null").select(*_FOUND), read.where("synced is not null").select("file", "synced", "head", "tail")
+    # One row a file, without its bytes.
+    groups = ends.select("file", "synced", F.sum(F.col("synced").cast("long")).over(W.orderBy("file")).alias("g"))
+    placed = ends.join(groups.select("file", "g"), "file")
+    heads = placed.select((F.col("g") - F.col("synced").cast("long")).alias("g"), "file", F.lit(0).alias("side"), F.col("head").alias("data"))
+    tails = placed.where("synced").select("g", "file", F.lit(1).alias("side"), F.col("tail").alias("data"))
+    # What lies between two places that fit is one record, or what is left of it.
+    spans = heads.unionByName(tails).where(F.octet_length("data") > 0).groupBy("g").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("file", "side", "data"))), F.lit(b""), lambda a, p: F.concat(a, p["data"])).alias("data"))
+
+    def across(batches):
+        for pdf in batches:
+            out = []
+            for data in pdf["data"]:
+                if _records(bytes(data), 0, out) < len(data):
+                    out.append((None, None, None, None, "torn"))
+            yield pd.DataFrame(out, columns=_FOUND).astype({"tombstone": "boolean", "ts": "Int64"})
+
+    return whole.unionByName(spans.select("data").mapInPandas(across, _RECORD))

@@ -257,6 +257,18 @@ def test_log_segments_and_damage(spark, tmp_path):
     assert wal.intact(checked.withColumn("ts", F.col("ts") + 1)).count() == 0
 
 
+@pytest.mark.parametrize("size", [40, 64, 300, 5000])
+def test_records_that_span_files(spark, size):
+    rows = [(b"k%d" % i, b"v" * (i * 7 % 90), i % 9 == 0, i, i) for i in range(60)] + [(b"long", b"x" * 700, False, 60, 60)]
+    files = wal.cut_segments(wal.write_segments(spark.createDataFrame(rows, OPS), 13), size)
+    assert files.agg(F.max(F.octet_length("data"))).first()[0] <= size
+    got = wal.read_stream(files).collect()
+    assert sorted((as_bytes(r["key"]), as_bytes(r["value"]), r["ts"], r["error"]) for r in got) == sorted((k, None if d else v, t, None) for k, v, d, t, _ in rows)
+    last = files.agg(F.max("file")).first()[0]
+    cut = wal.read_stream(files.where(F.col("file") < last)).collect()
+    assert sum(r["error"] == "torn" for r in cut) <= 1 and {r["error"] for r in cut} <= {None, "torn"}
+
+
 def test_config(tmp_path):
     c = DBConfig(memory_table_capacity=500)
     c.save(str(tmp_path / "c.json"))
