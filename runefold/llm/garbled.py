@@ -44,6 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runefold.shared import workspace, written
+
 #: Documents the classifier is fitted on, about; the only use of a sample.
 SAMPLE_DOCUMENTS = 4000
 BUCKETS = 1 << 15
@@ -243,12 +245,13 @@ class Classifier:
     in a bucket to what clean text yields; ``clean``: log of the latter;
     ``lexicon``: the sample's clean words beyond ASCII, case folded; ``usual``:
     characters outside of broken words; ``suspect``: the sample's words that are
-    no clean ones; ``vocabulary``: sorted hashes of all documents' words.
+    no clean ones; ``vocabulary``: table of the hashes of all documents' words,
+    which stays on the cluster; ``held``: those of them that the text in hand asks for.
     """
 
-    def __init__(self, table: np.ndarray, clean: np.ndarray, lexicon: frozenset, usual: frozenset, suspect: frozenset = frozenset(), vocabulary: np.ndarray | None = None):
-        self.table, self.clean, self.lexicon, self.usual, self.suspect = table, clean, lexicon, usual, suspect
-        self.vocabulary = np.zeros(0, np.int64) if vocabulary is None else vocabulary
+    def __init__(self, table: np.ndarray, clean: np.ndarray, lexicon: frozenset, usual: frozenset, suspect: frozenset = frozenset(), vocabulary: DataFrame | None = None):
+        self.table, self.clean, self.lexicon, self.usual, self.suspect, self.vocabulary = table, clean, lexicon, usual, suspect, vocabulary
+        self.held: frozenset[int] = frozenset()
         self.cache: dict[str, np.ndarray] = {}
 
     @classmethod
@@ -289,11 +292,7 @@ class Classifier:
 
     def vouched(self, word: str) -> bool:
         """Whether the sample or the other documents hold the word."""
-        if self.known(word):
-            return True
-        key = _hash(form(word).casefold())
-        i = int(np.searchsorted(self.vocabulary, key))
-        return i < len(self.vocabulary) and int(self.vocabulary[i]) == key
+        return self.known(word) or _hash(form(word).casefold()) in self.held
 
     def strict(self, chain: Chain, restored: str, given: str) -> bool:
         """Whether a passage behind UTF-8 is long enough that strict decoding alone proves it, whatever its characters."""
@@ -343,20 +342,43 @@ class Classifier:
                 self.cache[w] = np.minimum(x, -1.0) if self.known(w) else x
         return [self.cache[w] for w in words]
 
-    def passages(self, text: str) -> list[tuple[int, int, Chain, str | None]]:
-        """(start, stop, chain, restored or None) of each garbled passage."""
-        if not text or text.isascii():
-            return []
-        found, lesson, at = [], None, 0
+    def _lines(self, text: str):
+        """``(place, line, places of its words, their evidence)`` of the lines with evidence for any chain."""
+        at = 0
         for m in (*_LINE.finditer(text), None):
             line, start, at = text[at : m.start() if m else len(text)], at, m.end() if m else len(text)
             if line.isascii():
                 continue
             places = line_words(line)
             rows = self.scores([line[a:b] for a, b in places])
-            if max(float(r.max()) for r in rows) <= 0:
-                continue
-            for a, b, chain, back in self._in_line(line, places, np.stack(rows)):
+            if max(float(r.max()) for r in rows) > 0:
+                yield start, line, places, np.stack(rows)
+
+    def asked(self, text: str) -> set[int] | None:
+        """Hashes of the words that ``passages`` may ask ``vouched`` about; None if the text can hold no passage.
+
+        A chain reaches ``EVIDENCE`` in part of a stretch only if it does in the whole, so no word is left out.
+        """
+        if not text or text.isascii():
+            return None
+        out, possible = set(), False
+        for _, line, places, rows in self._lines(text):
+            for low, high in _stretches(places, rows, 0, len(places)):
+                top, _ = _tops(places, rows, low, high)
+                for c in np.flatnonzero(top >= EVIDENCE):
+                    possible, chain = True, CHAINS[c]
+                    if not chain.loss and chain.true != "utf-8":
+                        for a, b in places[low:high]:
+                            out.update(_hash(form(w).casefold()) for w in _SPLIT.split(chain.invert(line[a:b]) or "") if w and not w.isascii())
+        return out if possible else None
+
+    def passages(self, text: str) -> list[tuple[int, int, Chain, str | None]]:
+        """(start, stop, chain, restored or None) of each garbled passage."""
+        if not text or text.isascii():
+            return []
+        found, lesson = [], None
+        for start, line, places, rows in self._lines(text):
+            for a, b, chain, back in self._in_line(line, places, rows):
                 if _in_backticks(line, a, b):
                     continue
                 if lesson is None:
@@ -383,18 +405,7 @@ class Classifier:
 
     def _best(self, line: str, places: list, rows: np.ndarray, low: int, high: int) -> tuple | None:
         """``(first word, last word, pieces)`` of the passage with most evidence that holds; None if there is none."""
-        n_chains = rows.shape[1]
-        run, begin = np.zeros(n_chains), np.full(n_chains, low)
-        top, span = np.zeros(n_chains), np.zeros((n_chains, 2), int)
-        for i in range(low, high):
-            new = run <= 0
-            if i > low and places[i][0] - places[i - 1][1] > GAP:
-                new[:] = True
-            begin[new] = i
-            run = np.where(new, 0, run) + rows[i]
-            better = run > top
-            top[better] = run[better]
-            span[better, 0], span[better, 1] = begin[better], i
+        top, span = _tops(places, rows, low, high)
         proof = None
         for c in np.argsort(-top):
             if top[c] < EVIDENCE:
@@ -420,6 +431,23 @@ class Classifier:
         return proof
 
 
+def _tops(places: list, rows: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per chain the greatest sum of evidence of neighbouring words, and their first and last."""
+    n_chains = rows.shape[1]
+    run, begin = np.zeros(n_chains), np.full(n_chains, low)
+    top, span = np.zeros(n_chains), np.zeros((n_chains, 2), int)
+    for i in range(low, high):
+        new = run <= 0
+        if i > low and places[i][0] - places[i - 1][1] > GAP:
+            new[:] = True
+        begin[new] = i
+        run = np.where(new, 0, run) + rows[i]
+        better = run > top
+        top[better] = run[better]
+        span[better, 0], span[better, 1] = begin[better], i
+    return top, span
+
+
 def _stretches(places: list, rows: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
     """Stretches of words that no passage leaves: behind their last word the evidence of every chain is used up, or a gap follows."""
     out, run, start = [], np.zeros(rows.shape[1]), None
@@ -514,14 +542,15 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def corpus(documents: DataFrame, model: Classifier, text_column: str = "text") -> tuple[frozenset, np.ndarray]:
-    """The characters more than two documents hold and the sorted hashes of the words, case folded, more than one holds.
+def corpus(documents: DataFrame, model: Classifier, text_column: str = "text") -> tuple[frozenset, DataFrame]:
+    """The characters more than two documents hold, and a table ``h`` of the hashes of the words, case folded, more than one holds.
 
     Counted over all distinct texts, without broken, proven and suspect words. A
-    batch of rows hands on as many texts of a word or character as decide. What
-    comes to the driver are 8 bytes a word.
+    batch of rows hands on as many texts of a word or character as decide. Only
+    characters come to the driver; there are no more than Unicode has.
     """
-    kept = documents.sparkSession.sparkContext.broadcast(model.suspect)  # bounded by the sample
+    spark = documents.sparkSession
+    kept = spark.sparkContext.broadcast(model.suspect)  # bounded by the sample
 
     def count(batches):
         suspect, clean = kept.value, {}
@@ -544,23 +573,51 @@ def corpus(documents: DataFrame, model: Classifier, text_column: str = "text") -
 
     beyond = documents.where(F.col(text_column).rlike(r"[^\x00-\x7F]")).select(text_column)
     n = beyond.mapInArrow(count, "word boolean, key long, text long").distinct().groupBy("word", "key").count()
-    found = n.where(F.when(F.col("word"), F.col("count") > 1).otherwise(F.col("count") > 2)).select("word", "key").toArrow()
-    word, key = (np.asarray(found.column(c).combine_chunks().to_numpy(zero_copy_only=False)) for c in ("word", "key"))
-    word = word.astype(bool)
-    return model.usual | {chr(c) for c in key[~word].tolist()}, np.sort(key[word].astype(np.int64))
+    found = written(n.where(F.when(F.col("word"), F.col("count") > 1).otherwise(F.col("count") > 2)).select("word", "key"), workspace(spark, "words"))
+    usual = {chr(r[0]) for r in found.where("not word").select("key").toLocalIterator()}
+    return model.usual | usual, found.where("word").select(F.col("key").alias("h"))
+
+
+def candidates(documents: DataFrame, table, id_column: str, text_column: str) -> DataFrame:
+    """``row, id, text, asked``: the documents that can hold a passage, and the words their restoration depends on."""
+    kind = documents.select(id_column).schema[0].dataType.simpleString()
+
+    def run(batches):
+        own = Classifier(*table.value)
+        for b in batches:
+            found = [(i, text, sorted(asked)) for i, text in enumerate(b.column(1).to_pylist()) if (asked := own.asked(text)) is not None]
+            ids = b.column(0).take(pa.array([f[0] for f in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["id", "text", "asked"])
+
+    found = documents.select(id_column, text_column).mapInArrow(run, f"id {kind}, text string, asked array<long>")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def garbled(documents: DataFrame, model: Classifier, id_column: str = "doc_id", text_column: str = "text", restored: bool = False) -> DataFrame:
-    """``id_column`` of each document with a garbled passage; with ``restored`` also ``chains, n_passages, n_lost, text``."""
-    table = documents.sparkSession.sparkContext.broadcast((model.table, model.clean, model.lexicon, model.usual, model.suspect, model.vocabulary))  # bounded by BUCKETS, chains and the sample, but for 8 bytes a word of the corpus
+    """``id_column`` of each document with a garbled passage; with ``restored`` also ``chains, n_passages, n_lost, text``.
+
+    Documents that can hold one are written; the words that decide are looked
+    up by a join with the vocabulary, which is as large as the corpus makes it.
+    """
+    spark = documents.sparkSession
+    table = spark.sparkContext.broadcast((model.table, model.clean, model.lexicon, model.usual, model.suspect))  # bounded by BUCKETS, chains, the sample and Unicode
     kind = documents.select(id_column).schema[0].dataType.simpleString()
+    possible = written(candidates(documents, table, id_column, text_column), workspace(spark, "candidates"))
+    asked = possible.select("row", F.explode("asked").alias("h"))
+    if model.vocabulary is None:
+        asked = asked.limit(0)
+    else:
+        asked = asked.join(model.vocabulary, "h", "left_semi")
+    held = asked.groupBy("row").agg(F.collect_list("h").alias("held"))  # a text's own words
+    decided = possible.join(held, "row", "left").select("id", "text", "held")
 
     def run(batches):
         own = Classifier(*table.value)
         for b in batches:
             out = [[], [], [], [], []]
-            for id_, text in zip(b.column(0), b.column(1).to_pylist()):
-                if not text or text.isascii() or not (found := own.passages(text)):
+            for id_, text, held in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                own.held = frozenset(held or ())
+                if not (found := own.passages(text)):
                     continue
                 out[0].append(id_)
                 if restored:
@@ -579,4 +636,4 @@ def garbled(documents: DataFrame, model: Classifier, id_column: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([ids], [id_column])
 
     form = f"`{id_column}` {kind}" + ", chains array<string>, n_passages int, n_lost int, text string" * restored
-    return documents.select(id_column, text_column).mapInArrow(run, form)
+    return decided.mapInArrow(run, form)

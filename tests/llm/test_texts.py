@@ -262,6 +262,21 @@ HELD_OUT = [
 ]
 
 
+def test_documents_ask_for_all_words_that_decide(model):
+    r = random.Random(9)
+    chains = [c for c in garbled.CHAINS if c.true in ("cp1252", "cp1251", "koi8-r", "cp1250", "shift_jis") and not c.loss]
+    for _ in range(60):
+        parts = [(c.garble(x) if (c := r.choice(chains)) and r.random() < 0.7 else x) or x for x in r.choices(SENTENCES, k=3)]
+        text, used = " clean words of some length stand between them ".join(parts) + "\n" + parts[0], set()
+        model.vouched = (lambda w: used.add(garbled._hash(garbled.form(w).casefold())) or garbled.Classifier.vouched(model, w))
+        try:
+            found = model.passages(text)
+        finally:
+            del model.vouched
+        asked = model.asked(text)
+        assert used <= (asked or set()) and (asked is not None or not found)
+
+
 @pytest.mark.parametrize("between", [" plain words that nobody has garbled stand here, in a row of more than eighty letters, ", " größere Flüsse über schöne Mühlen größere Flüsse über schöne Mühlen "])
 def test_many_passages_in_a_line_take_linear_time(model, between):
     one = garbled.Chain("utf-8", "cp1252").garble("voilà entraîné")
@@ -329,9 +344,11 @@ def test_words_outside_of_the_sample_vouch(spark, model):
     df = spark.createDataFrame([(i, f"{text} {i}", "", "") for i in range(3)] + [(i, bad, "", "") for i in range(3, 9)], TEXTS)
     usual, vocabulary = garbled.corpus(df, model)
     own = garbled.Classifier(model.table, model.clean, model.lexicon, usual, model.suspect, vocabulary)
+    own.held = frozenset(r["h"] for r in vocabulary.collect())
     assert [back for *_, back in own.passages("plain words " + bad)] == [text]
     assert [back for *_, back in model.passages("plain words " + bad)] != [text]
     sampled = garbled.fit(df, sample=1)
+    sampled.held = frozenset(r["h"] for r in sampled.vocabulary.collect())
     assert all(sampled.vouched(w) for w in text.split() if not w.isascii()) and not sampled.vouched("Bärlauch") and "ß" in sampled.usual
 
 
