@@ -607,9 +607,9 @@ def garbled(documents: DataFrame, model: Classifier, id_column: str = "doc_id",
     if model.vocabulary is None:
         asked = asked.limit(0)
     else:
-        asked = asked.join(model.vocabulary, "h", "left_semi")
+        asked = asked.join(model.vocabulary.hint("merge"), "h", "left_semi")
     held = asked.groupBy("row").agg(F.collect_list("h").alias("held"))  # a text's own words
-    decided = possible.join(held, "row", "left").select("id", "text", "held")
+    decided = possible.join(held.hint("merge"), "row", "left").select("id", "text", "held")
 
     def run(batches):
         own = Classifier(*table.value)
