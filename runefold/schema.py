@@ -41,6 +41,8 @@ class TokenBucketError(RuntimeError):
 class DBConfig:
     """Settings with their defaults; unknown fields of a file are ignored, missing and null ones take the default."""
 
+    # Names and defaults of the configuration file.
+
     bloom_filter_probability: float = 0.1
     bloom_filter_cap: int = 1_000_000
     skip_list_max_level: int = 10
