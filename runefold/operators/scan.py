@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import uuid
+from bisect import bisect_right
 from collections.abc import Sequence
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runefold.operators.resolve import state
-from runefold.shared import free_name, parallelism, workspace, written
+from runefold.shared import free_name, open_fs, parallelism, remove, workspace, written
 
 
 def successor(prefix: bytes) -> bytes | None:
@@ -103,40 +108,118 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name:
     return inside.join(F.broadcast(carried), same, "left").withColumn(name, F.col(place) + F.coalesce(before, F.lit(0))).select(*rows.columns, F.col(name).cast("bigint").alias(name))
 
 
+def _cut(batches, size: int):
+    """Arrow batches of ``size`` rows each, but for the last."""
+    import pyarrow as pa
+
+    rest = None
+    for b in batches:
+        b = b if rest is None else pa.concat_batches([rest, b])
+        full = b.num_rows // size * size
+        yield from (b.slice(i, size) for i in range(0, full, size))
+        rest = b.slice(full)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+@functools.lru_cache(maxsize=2)
+def _reader(uri: str):
+    import pyarrow as pa
+
+    fs, path = open_fs(uri)
+    return pa.ipc.open_file(fs.open_input_file(path))
+
+
+class Laid:
+    """Rows laid out once in key order, so that driver and tasks can read any block of ``block`` rows by itself.
+
+    Each range of keys is an Arrow file in the shared folder, and a block one of
+    its batches; a file's last block may be shorter. Only files that a finished
+    task returned are known, so repeated attempts do no harm.
+    """
+
+    def __init__(self, rows: DataFrame, block: int):
+        if block < 1:
+            raise ValueError("a block holds one row at least")
+        spark = rows.sparkSession
+        self.schema, self.block, self.at = rows.schema, block, (at := workspace(spark, "laid"))
+
+        def write(batches):
+            import pyarrow as pa
+
+            blocks, name, n = _cut(batches, block), f"{at}/{uuid.uuid4().hex}", 0
+            if (first := next(blocks, None)) is None:
+                return
+            fs, path = open_fs(name)
+            with fs.open_output_stream(path) as sink, pa.ipc.new_file(sink, first.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in itertools.chain([first], blocks):
+                    out.write_batch(b)
+                    n += b.num_rows
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [name], "n": [n]})
+
+        ordered = rows.repartitionByRange(parallelism(spark), "key").sortWithinPartitions("key")
+        found = sorted(ordered.mapInArrow(write, "part int, path string, n long").collect())  # one row per range
+        self.files, self.sizes = [r["path"] for r in found], [r["n"] for r in found]
+        self.starts = list(itertools.accumulate(self.sizes, initial=0))
+        self.n_rows = self.starts.pop()
+
+    def read(self, place: int) -> tuple[int, list]:
+        """The block that holds row ``place``, and the place of its first row."""
+        import pyarrow as pa
+        from pyspark.sql.conversion import ArrowTableToRowsConversion
+
+        k = bisect_right(self.starts, place) - 1
+        i = (place - self.starts[k]) // self.block
+        found = pa.Table.from_batches([_reader(self.files[k]).get_batch(i)])
+        return self.starts[k] + i * self.block, ArrowTableToRowsConversion.convert(found, self.schema)
+
+
 class Cursor:
     """Walks live keys of a scan: ``next`` gives row i and steps on, ``prev`` steps back and gives row i - 1.
 
-    One block of rows is held. At its ends the next one is fetched by keyset
-    paging in that direction, so a step costs at most one bounded query and
-    memory does not grow with the walk.
+    One block of rows is held. The first is a bounded query. A walk that leaves
+    it lays all rows out once; after that every block, in either direction, is
+    one read of a file, so a whole walk is linear and memory does not grow with it.
+    Rows that are laid out already can be walked from any ``place``, in a task too.
     """
 
-    def __init__(self, rows: DataFrame, block: int = 256):
+    def __init__(self, rows: DataFrame | Laid, block: int = 256, place: int = 0):
+        if block < 1:
+            raise ValueError("a block holds one row at least")
         self.rows, self.block = rows, block
-        self.stop()
+        self.laid = rows if isinstance(rows, Laid) else None
+        if place and not self.laid:
+            raise ValueError("only rows that are laid out have places")
+        self.held, self.start, self.place, self.asked = [], 0, place, False
 
     def stop(self) -> None:
-        """Back to before the first row."""
-        self.held, self.at, self.first, self.last = [], 0, True, False
+        """Back to before the first row; what was laid out for this cursor is deleted."""
+        if self.laid is not None and self.laid is not self.rows:
+            remove(self.rows.sparkSession, self.laid.at)
+            self.laid = None
+        self.held, self.start, self.place, self.asked = [], 0, 0, False
+
+    def _hold(self, place: int) -> bool:
+        """Holds the block with row ``place``; False if there is no such row."""
+        if self.laid is None and not self.asked:
+            self.held, self.asked = page_after(self.rows, None, self.block).collect(), True  # one block
+        if self.start <= place < self.start + len(self.held):
+            return True
+        if self.laid is None and len(self.held) == self.block:
+            self.laid = Laid(self.rows, self.block)
+        if self.laid is None or place >= self.laid.n_rows:
+            return False
+        self.start, self.held = self.laid.read(place)
+        return True
 
     def next(self):
-        if self.at == len(self.held) and not self.last:
-            got = page_after(self.rows, bytes(self.held[-1]["key"]) if self.held else None, self.block).collect()  # one block
-            self.last = len(got) < self.block
-            if got:
-                self.first, self.held, self.at = not self.held and self.first, got, 0
-        if self.at == len(self.held):
+        if not self._hold(self.place):
             return None
-        self.at += 1
-        return self.held[self.at - 1]
+        self.place += 1
+        return self.held[self.place - 1 - self.start]
 
     def prev(self):
-        if not self.at and not self.first:
-            got = page_before(self.rows, bytes(self.held[0]["key"]), self.block).collect()  # one block
-            self.first = len(got) < self.block
-            if got:
-                self.held, self.at, self.last = got[::-1], len(got), False
-        if not self.at:
+        if not self.place or not self._hold(self.place - 1):
             return None
-        self.at -= 1
-        return self.held[self.at]
+        self.place -= 1
+        return self.held[self.place - self.start]

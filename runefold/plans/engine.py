@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,17 +86,35 @@ def kv_leveled_plan(spark, d):
 
 
 def kv_cursor_steps(spark, d):
-    """Every live key by ``next``, back to the start by ``prev``, and the first again after ``stop``."""
-    c, out = scan.Cursor(resolve.state(kv.event_log(spark, d)), block=100), []
-    while (r := c.next()) is not None:
-        out.append((len(out), "next", bytes(r["key"]).decode()))
-    while (r := c.prev()) is not None:
-        out.append((len(out), "prev", bytes(r["key"]).decode()))
-    c.next()
-    c.stop()
-    if (r := c.next()) is not None:
-        out.append((len(out), "first", bytes(r["key"]).decode()))
-    return spark.createDataFrame(out, "step long, move string, key string")
+    """Every live key by ``next``, back to the start by ``prev``, and the first again after ``stop``; a cursor in each task walks one range of keys."""
+    laid = scan.Laid(resolve.state(kv.event_log(spark, d)), block=100)
+    n = laid.n_rows
+
+    def steps(start, size):
+        c = scan.Cursor(laid, place=start)
+        for i in range(start, start + size):
+            yield i, "next", bytes(c.next()["key"]).decode()
+        if start + size == n and c.next() is not None:
+            raise RuntimeError("no row follows the last")
+        for i in reversed(range(start, start + size)):
+            yield 2 * n - 1 - i, "prev", bytes(c.prev()["key"]).decode()
+        if not start:
+            if c.prev() is not None:
+                raise RuntimeError("no row comes before the first")
+            c.next()
+            c.stop()
+            yield 2 * n, "first", bytes(c.next()["key"]).decode()
+
+    def walk(batches):
+        import pyarrow as pa
+
+        for k in (k for b in batches for k in b.column(0).to_pylist()):
+            found = steps(laid.starts[k], laid.sizes[k])
+            while some := list(itertools.islice(found, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*some)], ["step", "move", "key"])
+
+    ranges = len(laid.files)
+    return spark.range(0, ranges, 1, max(1, ranges)).mapInArrow(walk, "step long, move string, key string")
 
 
 def kv_prefix_trimmed(spark, d):

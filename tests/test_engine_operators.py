@@ -1,5 +1,6 @@
 """Resolution, scans, runs, sketches, rate limiting, log and facade, against dictionary models."""
 
+import datetime
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from runefold.engine import KvEngine
 from runefold.operators import compaction, ratelimit, resolve, scan, sketches
+from runefold.plans import engine as plans
 from runefold.schema import LOG, DBConfig, ProbabilisticTypeError, ReservedKeyError, TokenBucketError
 from runefold.sources import wal
 
@@ -242,6 +244,78 @@ def test_cursor_holds_one_block_in_both_directions(spark, alphabet):
         assert len(c.held) <= 5
 
 
+def jobs_of(spark, group, f):
+    """What ``f`` returns, and how many Spark jobs it ran."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return f(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_a_walk_of_many_blocks_runs_its_query_once(spark, alphabet):
+    ops, keys = alphabet
+    c = scan.Cursor(resolve.state(ops), block=7)
+
+    def walk():
+        there = [c.next() for _ in keys]
+        assert c.next() is None and c.next() is None and len(c.held) <= 7
+        back = [c.prev() for _ in keys]
+        assert c.prev() is None and len(c.held) <= 7
+        return there, back
+
+    (there, back), jobs = jobs_of(spark, "walk", walk)
+    assert there == resolve.state(ops).orderBy("key").collect() == back[::-1]
+    assert jobs <= 10  # of 97 blocks in each direction
+    r, at = random.Random(5), 0
+    for _ in range(3000):
+        if r.random() < 0.6:
+            row, want, at = c.next(), keys[at : at + 1], min(len(keys), at + 1)
+        else:
+            row, want, at = c.prev(), keys[at - 1 : at] if at else [], max(0, at - 1)
+        assert [as_bytes(x["key"]) for x in (row,) if x] == want
+    laid = c.laid
+    c.stop()
+    assert as_bytes(c.next()["key"]) == keys[0] and c.laid is None and c.prev() == there[0]
+    with pytest.raises(FileNotFoundError):
+        open(laid.files[-1].removeprefix("file://"))  # deleted
+
+
+@pytest.mark.parametrize("n", [0, 1, 6, 7, 8, 14, 15])
+def test_cursor_at_the_ends_of_blocks(spark, n):
+    keys = [b"%03d" % i for i in range(n)]
+    df = spark.createDataFrame([(k, b"v", False, 1, i) for i, k in enumerate(keys)], OPS)
+    laid = scan.Laid(df, 7)
+    assert laid.n_rows == n
+    for c in (scan.Cursor(df, block=7), scan.Cursor(laid)):
+        for _ in range(2):
+            assert c.prev() is None
+            assert [as_bytes(c.next()["key"]) for _ in keys] == keys and c.next() is None and c.next() is None
+            assert [as_bytes(c.prev()["key"]) for _ in keys] == keys[::-1] and c.prev() is None
+            c.stop()
+    for i in range(n + 1):
+        after, before = scan.Cursor(laid, place=i), scan.Cursor(laid, place=i)
+        assert ((row := after.next()) and as_bytes(row["key"])) == (keys[i] if i < n else None)
+        assert ((row := before.prev()) and as_bytes(row["key"])) == (keys[i - 1] if i else None)
+    with pytest.raises(ValueError):
+        scan.Cursor(df, block=0)
+
+
+@pytest.mark.parametrize("users", [0, 1, 1999])
+def test_cursor_steps_of_many_keys(spark, tmp_path, users):
+    r = random.Random(users)
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=r.randrange(50)), r.randrange(users), r.choice(["view", "click", "error"])) for i in range(3 * users)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    newest = {}
+    for i, ts, user, kind in rows:
+        newest[user] = max(newest.get(user, (ts, i, kind)), (ts, i, kind))
+    live = [f"user/{u:05}" for u in sorted(newest) if newest[u][2] != "error"]
+    want = [(i, "next", k) for i, k in enumerate(live)] + [(len(live) + i, "prev", k) for i, k in enumerate(live[::-1])] + [(2 * len(live), "first", k) for k in live[:1]]
+    got, jobs = jobs_of(spark, f"steps-{users}", lambda: plans.kv_cursor_steps(spark, str(tmp_path)).collect())
+    assert sorted(tuple(x) for x in got) == want
+    assert jobs <= 10
+
+
 def test_log_segments_and_damage(spark, tmp_path):
     ops = spark.createDataFrame([(b"k%d" % i, None if i % 2 else b"v" * i, bool(i % 2), i, i) for i in range(50)], OPS)
     segments = wal.write_segments(ops, 20)
